@@ -34,11 +34,21 @@ VERDICT = "detected string, share double, runner_up double, n_grams bigint, keep
 
 
 def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams of letters and single spaces, and their offsets per part."""
-    n = len(buf) - GRAM + 1
+    """Packed n-grams of letters and single spaces, and their offsets per part.
+
+    Each part is framed by spaces, so even a one-letter word has an n-gram or,
+    below GRAM bytes with its frame, is filled up with a zero byte.
+    """
+    sizes = np.diff(offs)
+    pad = GRAM - 1
+    first = offs[:-1] + pad * np.arange(len(sizes))
+    text = np.full(len(buf) + pad * len(sizes) + 1, 32, np.uint8)
+    text[np.arange(len(buf)) + np.repeat(1 + pad * np.arange(len(sizes)), sizes)] = _SPACED[buf]
+    # frame of a part: a space before, a space and a zero after; the zero ends what may follow a word
+    text[first + sizes + 2] = 0
+    n = len(text) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
-    text = _SPACED[buf]
     blank = text == 32
     wide = text.astype(np.uint32)
     key = wide[:n].copy()
@@ -48,11 +58,11 @@ def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bad = np.zeros(n, bool)
     for j in range(GRAM - 1):
         bad |= double[j : n + j]
-    for j in range(1, GRAM):
-        edge = offs[1:-1] - j
-        bad[edge[(edge >= 0) & (edge < n)]] = True
+    for j in range(GRAM - 1):
+        bad |= text[j : n + j] == 0  # a zero only as the last byte
+    bad |= (text[pad : n + pad] == 0) & ~(blank[:n] & ~blank[1 : n + 1])  # and only of " x " after a frame
     good = np.flatnonzero(~bad)
-    return key[good], np.searchsorted(good, offs)
+    return key[good], np.searchsorted(good, np.append(first, len(text)))
 
 
 @dataclass
@@ -149,7 +159,7 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", per_language
     return LanguageModel.build({x: gram[language == x] for x in set(language)}, positions, hashes)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text", min_share: float = 0.5, min_grams: int = 3, languages: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", min_share: float = 0.5, min_grams: int = 1, languages: list[str] | None = None) -> DataFrame:
     """docs with detected, share, runner_up, n_grams and keep in columns of those names.
 
     A column of docs with one of these names is replaced.  keep: enough n-grams,

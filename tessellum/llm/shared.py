@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +81,58 @@ def connected(edges: DataFrame) -> DataFrame:
             break
         mark = now
     return e.selectExpr("a AS node", "b AS root").unionByName(e.selectExpr("b AS node", "b AS root").distinct())
+
+
+class KeyTable:
+    """A (key BIGINT, value BIGINT) table that a Python pass over documents looks keys up in.
+
+    Up to ``limit`` keys it is broadcast.  Beyond that, ``attach`` joins to each
+    document the entries of the keys it has, so nothing on a worker grows with
+    the table; a batch then reads the union of its documents' entries.
+    """
+
+    def __init__(self, entries: DataFrame, limit: int = BROADCAST_KEYS):
+        self.entries = entries
+        found = entries.limit(limit + 1).toArrow()
+        self.small = None
+        if found.num_rows <= limit:
+            key, value = (found.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            order = np.argsort(key, kind="stable")
+            self.small = entries.sparkSession.sparkContext.broadcast((key[order], value[order]))
+
+    def attach(self, docs: DataFrame, columns: list[str], keys_of) -> DataFrame:
+        """docs with a last column ``_keys``; keys_of(batch) yields (rows, keys) of a batch of ``columns``."""
+        if self.small is not None:
+            return docs.withColumn("_keys", F.lit(None).cast("array<bigint>"))
+        identity = F.struct(F.xxhash64(*columns), F.xxhash64(*reversed(columns), F.lit(1)))
+        marked = docs.withColumn("_doc", identity)
+
+        def spread(batches):
+            for batch in batches:
+                for rows, keys in keys_of(batch.column(0)):
+                    yield pa.RecordBatch.from_arrays([batch.column(1).field(0).take(pa.array(rows)), batch.column(1).field(1).take(pa.array(rows)), pa.array(keys)], names=["d1", "d2", "key"])
+
+        each = marked.select(columns[-1], "_doc").mapInArrow(spread, "d1 bigint, d2 bigint, key bigint").distinct()
+        name = self.entries.columns
+        hit = each.join(self.entries.toDF("key", "value") if name != ["key", "value"] else self.entries, "key")
+        lists = hit.groupBy("d1", "d2").agg(F.flatten(F.collect_list(F.array("key", "value"))).alias("_keys"))
+        return marked.withColumns({"d1_": F.col("_doc").getField("col1"), "d2_": F.col("_doc").getField("col2")}).join(lists, (F.col("d1_") == F.col("d1")) & (F.col("d2_") == F.col("d2")), "left").select(*[F.col(c) for c in docs.columns], "_keys")
+
+    def of(self, batch_keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted keys and their values for a batch."""
+        if self.small is not None:
+            return self.small.value
+        flat = pa.concat_arrays([batch_keys.drop_null()]).flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+        key, at = np.unique(flat[:, 0], return_index=True)
+        return key, flat[at, 1]
+
+    def __getstate__(self):
+        return {"small": self.small}
+
+
+def find(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of values: whether it is among the sorted keys, and its position there."""
+    if not len(keys):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return keys[at] == values, at

@@ -48,8 +48,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def blocks(column: pa.Array, lower: bool = True, target: int = PART_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Yield (bytes, part offsets, row of each part); a null counts as an empty text."""
+def blocks(column: pa.Array, lower: bool = True, target: int = PART_BYTES, lines: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Yield (bytes, part offsets, row of each part); a null counts as an empty text.
+
+    lines: cut long texts after newlines alone, so that no line is ever split.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column, "")
@@ -70,9 +73,14 @@ def blocks(column: pa.Array, lower: bool = True, target: int = PART_BYTES) -> It
         text = data[offsets[row] : offsets[row + 1]]
         cuts = [0]
         while len(text) - cuts[-1] > target:
-            gaps = np.flatnonzero(WORD_BYTE[text[cuts[-1] : cuts[-1] + target]] == 0)
+            window = text[cuts[-1] : cuts[-1] + target]
+            gaps = np.flatnonzero(window == 10 if lines else WORD_BYTE[window] == 0)
+            if lines and not len(gaps):
+                later = np.flatnonzero(text[cuts[-1] + target :] == 10)[:1]
+                gaps = later + target if len(later) else np.array([len(text) - cuts[-1] - 1])
             cuts.append(cuts[-1] + (int(gaps[-1]) + 1 if len(gaps) else target))
-        cuts.append(len(text))
+        if cuts[-1] < len(text) or len(cuts) == 1:
+            cuts.append(len(text))
         for a, b in zip(cuts, cuts[1:]):
             yield text[a:b], np.array([0, b - a]), np.array([row])
         row += 1
