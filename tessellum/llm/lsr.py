@@ -35,8 +35,8 @@ from .shared import tasks
 from .textvec import U64, blocks, mix, word_hashes, word_spans
 
 FEATURES = 1 << 14
-ROWS = 192
-RANK = 64
+ROWS = 256
+RANK = 128
 STEP = 24
 COSINE = 0.3
 MIN_WORDS = 8
@@ -51,6 +51,18 @@ def feature(h: np.ndarray) -> np.ndarray:
     return (h >> U64(64 - FEATURES.bit_length() + 1)).astype(np.int64)
 
 
+def _pieces(f: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pieces, STEP) features, filled up with FEATURES; the piece of each word; the pieces before each part."""
+    counts = np.diff(at)
+    each = -(-counts // STEP)
+    base = np.append(0, np.cumsum(each))
+    place = np.arange(len(f)) - np.repeat(at[:-1], counts)
+    piece = np.repeat(base[:-1], counts) + place // STEP
+    words = np.full((base[-1], STEP), FEATURES, np.uint16)
+    words[piece, place % STEP] = f
+    return words, piece, base
+
+
 def _count(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Sketch of the passage counts (ROWS, FEATURES), passage frequencies, and number of passages."""
 
@@ -64,18 +76,14 @@ def _count(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, int]:
                 h, at = word_hashes(buf, offs)
                 if not len(h):
                     continue
-                counts = np.diff(at)
-                each = -(-counts // STEP)
-                base = np.cumsum(each) - each
-                place = np.arange(len(h)) - np.repeat(at[:-1], counts)
-                passage = np.repeat(base, counts) + place // STEP
-                n = int(each.sum())
-                f = feature(h)
-                key = np.unique(passage * FEATURES + f)
-                seen += np.bincount(key % FEATURES, minlength=FEATURES)
+                words, passage, _ = _pieces(feature(h), at)
+                n = len(words)
                 row, sign = rng.integers(0, ROWS, n), rng.integers(0, 2, n) * 2 - 1
-                cell, sums = row[passage] * FEATURES + f, sign[passage]
-                sketch += np.bincount(cell, sums, ROWS * FEATURES).astype(np.float32)
+                np.add.at(sketch, row[passage] * FEATURES + feature(h), sign[passage].astype(np.float32))
+                words.sort(axis=1)
+                first = np.ones(words.shape, bool)
+                first[:, 1:] = words[:, 1:] != words[:, :-1]
+                seen += np.bincount(words[first], minlength=FEATURES + 1)[:FEATURES]
                 passages += n
         if not passages:
             return
@@ -107,13 +115,16 @@ def _count(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, int]:
 def latent(docs: DataFrame, text: str = "text", rank: int = RANK) -> np.ndarray:
     """(FEATURES, rank) float32: maps word counts of a passage to whitened latent coordinates."""
     sketch, seen, passages = _count(docs, text)
-    idf = np.log((1 + passages) / (1 + seen)) + 1
+    # TF-IDF, over the root of the frequency: otherwise the space is spanned by each language's few function words
+    idf = np.log((1 + passages) / (1 + seen)) / np.sqrt(seen + 10)
     weighted = sketch * idf.astype(np.float32)
-    values, left = np.linalg.eigh(weighted.astype(np.float64) @ weighted.T.astype(np.float64))
+    fit, held = weighted[: ROWS * 2 // 3].astype(np.float64), weighted[ROWS * 2 // 3 :].astype(np.float64)
+    values, left = np.linalg.eigh(fit @ fit.T)
     top = np.argsort(values)[::-1][:rank]
-    sigma = np.sqrt(np.maximum(values[top], 1e-12))
-    right = (weighted.T.astype(np.float64) @ left[:, top]) / sigma
-    return np.ascontiguousarray((idf[:, None] * right * (np.sqrt(passages + 1) / np.maximum(sigma, 1e-6 * sigma.max(initial=1)))).astype(np.float32))
+    right = (fit.T @ left[:, top]) / np.sqrt(np.maximum(values[top], 1e-12))
+    # the sketch fits its own noise, so the variance along each direction comes from the passages of the other rows
+    sigma = np.sqrt(((held @ right) ** 2).mean(axis=0))
+    return np.ascontiguousarray((idf[:, None] * right / np.maximum(sigma, 1e-3 * sigma.max(initial=1e-9))).astype(np.float32))
 
 
 class Items:
@@ -171,21 +182,21 @@ def _leaks(column: pa.Array, items: Items, projection: np.ndarray, cosine: float
     best: dict[tuple[int, int], tuple[float, float]] = {}
     if not items.ids:
         return best
+    matrix = np.vstack([projection, np.zeros((1, projection.shape[1]), np.float32)])
     for buf, offs, rows in blocks(column):
         h, at = word_hashes(buf, offs)
         if not len(h):
             continue
-        counts = np.diff(at)
-        each = -(-counts // STEP)
-        base = np.cumsum(each) - each
-        n = int(each.sum())
-        part = np.repeat(np.arange(len(counts)), each)
+        words_of, _, base = _pieces(feature(h), at)
+        n = len(words_of)
+        part = np.repeat(np.arange(len(at) - 1), np.diff(base))
         begin = at[:-1][part] + STEP * (np.arange(n) - base[part])
-        piece = np.empty((n, projection.shape[1]), np.float32)
-        f = feature(h)
-        for a in range(0, n, 2048):  # slices keep the gathered rows in cache
-            lo, hi = begin[a], begin[a + 2048] if a + 2048 < n else len(h)
-            piece[a : a + 2048] = np.add.reduceat(projection[f[lo:hi]], begin[a : a + 2048] - lo, axis=0)
+        piece = np.empty((n, matrix.shape[1]), np.float32)
+        for a in range(0, n, 2048):  # slices keep the sums in cache
+            total = matrix[words_of[a : a + 2048, 0]]
+            for j in range(1, STEP):
+                total += matrix.take(words_of[a : a + 2048, j], axis=0)
+            piece[a : a + 2048] = total
         joined = piece.copy()
         inside = np.flatnonzero(part[1:] == part[:-1])
         joined[inside] += piece[inside + 1]
