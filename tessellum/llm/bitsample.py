@@ -30,9 +30,9 @@ from .shared import connected, cut, tasks
 from .textvec import U64, binary_column, binary_rows, blocks, mix, segment_sums, word_hashes
 
 BITS = 128
-MAX_DISTANCE = 18
-TABLES = 20
-SAMPLED = 16
+MAX_DISTANCE = 26
+TABLES = 36
+SAMPLED = 12
 CAP = 4096
 AGAIN = 6
 _LANES = U64(0x0101010101010101)
