@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def embed(df: DataFrame, text: str, dims: int = DIMS, output: str = "embedding")
     """df with an ARRAY<FLOAT> column; Arrow batches, no row-wise Python."""
 
     @F.pandas_udf("array<float>")
-    def run(batches: Iterator) -> Iterator:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.fillna("").map(lambda t: hash_embedding(t, dims))
 

@@ -39,9 +39,9 @@ def check_edges(atoms: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def upsert_edges(old: DataFrame, new: DataFrame, order: str = "seq") -> DataFrame:
-    """One edge per (src, dst, type): the last of new, else the old one; a missing weight is 1."""
+    """One edge per (src, dst, type): the last of new (the heavier of equals), else the old one; a missing weight is 1."""
     key = ["src", "dst", "edge_type"]
-    last = new.groupBy(*key).agg(F.max_by(F.coalesce("weight", F.lit(1.0)), order).alias("fresh"))
+    last = new.groupBy(*key).agg(F.max(F.struct(F.col(order), F.coalesce("weight", F.lit(1.0)).alias("w")))["w"].alias("fresh"))
     return old.select(*key, "weight").join(last, key, "full").select(*key, F.coalesce("fresh", "weight").alias("weight"))
 
 

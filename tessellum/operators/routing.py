@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .materialise import cut
 from .search import B, K1, RRF_K, _maybe_broadcast, hybrid, rrf
 
 MIN_DENSITY = 1.0
@@ -144,14 +145,11 @@ def federated(atoms: DataFrame, shards: DataFrame, queries: DataFrame, limit: in
     Each shard ranks with its own statistics; the routed pairs prune what is kept
     before fusion.  Stragglers don't exist in a batch, so that list is empty.
     """
-    routed = route(shards, queries, max_shards)
+    routed = cut(route(shards, queries, max_shards))
     stripped = routed.select("query_id", "query").distinct()
-    names = [r[0] for r in routed.select("shard_key").distinct().orderBy("shard_key").collect()]
-    found = None
-    for name in names:  # one lane plan per shard: its index statistics are its own; a shard is a partition of atoms
-        mine = stripped.join(routed.where(F.col("shard_key") == name).select("query_id"), "query_id", "left_semi")
-        hits = hybrid(atoms.where(F.col("shard_key") == name), mine, per_shard).withColumn("shard_key", F.lit(name))
-        found = hits if found is None else found.unionByName(hits)
+    asked = atoms.join(_maybe_broadcast(routed.select("shard_key").distinct()), "shard_key", "left_semi")
+    every = hybrid(asked, stripped, per_shard, per=("shard_key",))
+    found = cut(every.join(_maybe_broadcast(routed.select("query_id", "shard_key")), ["query_id", "shard_key"], "left_semi"))
     probed = waves(routed, found, probe_wave, strict)
     kept = found.join(probed.select("query_id", "shard_key"), ["query_id", "shard_key"], "left_semi")
     keyed = kept.select("query_id", "shard_key", "id", F.concat_ws(":", "shard_key", F.col("id").cast("string")).alias("key"), F.col("fused_rank").alias("rank"))

@@ -30,29 +30,33 @@ def idf(n: Column, total: Column) -> Column:
     return F.when(value > 0, value).otherwise(1e-6)
 
 
-def _score(hits: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
-    """(query_id, id, score) of atoms that match every term of a query; hits has term, id, tf, len."""
-    found = hits.groupBy("term").agg(F.count("*").alias("n"))
+def _score(hits: DataFrame, terms: DataFrame, sized: DataFrame, per: list[str]) -> DataFrame:
+    """(query_id, *per, id, score) of atoms that match every term of a query; hits has per, term, id, tf, len.
+
+    Statistics are those of the whole index, or of each value of ``per``.
+    """
+    stats = sized.groupBy(*per).agg(F.count("*").alias("total"), F.avg("len").alias("avg_len"))
+    found = hits.groupBy(*per, "term").agg(F.count("*").alias("n"))
     needed = terms.groupBy("query_id").agg(F.count("*").alias("needed"))
-    weighed = hits.join(F.broadcast(found), "term").join(F.broadcast(stats))
+    counted = hits.join(found, [*per, "term"])
+    weighed = counted.join(stats, per) if per else counted.join(F.broadcast(stats))
     part = idf(F.col("n"), F.col("total")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = weighed.withColumn("part", part).join(_maybe_broadcast(terms), "term").groupBy("query_id", "id").agg(F.sum(F.col("part") * F.col("times")).alias("s"), F.count("*").alias("matched"))
-    return scored.join(F.broadcast(needed), "query_id").where("matched = needed").select("query_id", "id", (-F.col("s")).alias("score"))
+    scored = weighed.withColumn("part", part).join(_maybe_broadcast(terms), "term").groupBy("query_id", *per, "id").agg(F.sum(F.col("part") * F.col("times")).alias("s"), F.count("*").alias("matched"))
+    return scored.join(_maybe_broadcast(needed), "query_id").where("matched = needed").select("query_id", *per, "id", (-F.col("s")).alias("score"))
 
 
 def _terms(queries: DataFrame, terms: Column) -> DataFrame:
     return queries.select("query_id", F.explode(terms).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def substring_lane(atoms: DataFrame, queries: DataFrame, title_weight: float = TITLE_WEIGHT, body_weight: float = BODY_WEIGHT) -> DataFrame:
+def substring_lane(atoms: DataFrame, queries: DataFrame, title_weight: float = TITLE_WEIGHT, body_weight: float = BODY_WEIGHT, per: tuple[str, ...] = ()) -> DataFrame:
     """BM25 of case-insensitive substrings over title and body; terms under three characters are ignored."""
     terms = _terms(queries, T.substring_terms(F.col("query")))
     lengths = F.greatest(F.length("title") - 2, F.lit(0)) + F.greatest(F.length("body") - 2, F.lit(0))
-    sized = atoms.select("id", F.lower("title").alias("title"), F.lower("body").alias("body"), lengths.alias("len"))
-    stats = sized.agg(F.count("*").alias("total"), F.avg("len").alias("avg_len"))
+    sized = atoms.select(*per, "id", F.lower("title").alias("title"), F.lower("body").alias("body"), lengths.alias("len"))
     pairs = sized.join(_maybe_broadcast(terms.select("term").distinct()), F.col("title").contains(F.col("term")) | F.col("body").contains(F.col("term")))
     tf = title_weight * T.count_overlapping(F.col("title"), F.col("term")) + body_weight * T.count_overlapping(F.col("body"), F.col("term"))
-    return _score(pairs.select("term", "id", tf.alias("tf"), "len"), terms, stats)
+    return _score(pairs.select(*per, "term", "id", tf.alias("tf"), "len"), terms, sized, list(per))
 
 
 def _phrases(tokens: Column, phrase: Column, prefix: Column) -> Column:
@@ -68,14 +72,13 @@ def _phrases(tokens: Column, phrase: Column, prefix: Column) -> Column:
     return F.when(F.size(tokens) >= k, F.size(F.filter(starts, here))).otherwise(0)
 
 
-def word_lane(atoms: DataFrame, queries: DataFrame, title_weight: float = TITLE_WEIGHT, body_weight: float = BODY_WEIGHT) -> DataFrame:
+def word_lane(atoms: DataFrame, queries: DataFrame, title_weight: float = TITLE_WEIGHT, body_weight: float = BODY_WEIGHT, per: tuple[str, ...] = ()) -> DataFrame:
     """BM25 of word tokens; a term of four characters or more matches by prefix, inner punctuation makes a phrase."""
     terms = _terms(queries, T.word_terms(F.col("query")))
     kinds = terms.select("term").distinct().withColumns({"phrase": T.index_tokens(F.col("term")), "prefix": F.length("term") >= 4}).where(F.size("phrase") > 0)
-    tokens = atoms.select("id", T.index_tokens(F.col("title")).alias("tt"), T.index_tokens(F.col("body")).alias("bt")).withColumn("len", F.size("tt") + F.size("bt"))
-    stats = tokens.agg(F.count("*").alias("total"), F.avg("len").alias("avg_len"))
-    counted = tokens.join(_maybe_broadcast(kinds)).select("term", "id", "len", (title_weight * _phrases(F.col("tt"), F.col("phrase"), F.col("prefix")) + body_weight * _phrases(F.col("bt"), F.col("phrase"), F.col("prefix"))).alias("tf"))
-    return _score(counted.where("tf > 0"), terms, stats)
+    tokens = atoms.select(*per, "id", T.index_tokens(F.col("title")).alias("tt"), T.index_tokens(F.col("body")).alias("bt")).withColumn("len", F.size("tt") + F.size("bt"))
+    counted = tokens.join(_maybe_broadcast(kinds)).select(*per, "term", "id", "len", (title_weight * _phrases(F.col("tt"), F.col("phrase"), F.col("prefix")) + body_weight * _phrases(F.col("bt"), F.col("phrase"), F.col("prefix"))).alias("tf"))
+    return _score(counted.where("tf > 0"), terms, tokens, list(per))
 
 
 def scope(hits: DataFrame, atoms: DataFrame, condition: Column | None = None) -> DataFrame:
@@ -83,9 +86,9 @@ def scope(hits: DataFrame, atoms: DataFrame, condition: Column | None = None) ->
     return hits if condition is None else hits.join(atoms.where(condition).select("id"), "id", "left_semi")
 
 
-def top(hits: DataFrame, limit: int = 10, by: str = "query_id") -> DataFrame:
+def top(hits: DataFrame, limit: int = 10, per: tuple[str, ...] = ()) -> DataFrame:
     """The best ``limit`` hits of each query with their rank, ties by id."""
-    order = Window.partitionBy(by).orderBy(F.round("score", 9), "id")
+    order = Window.partitionBy("query_id", *per).orderBy(F.round("score", 9), "id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
@@ -107,11 +110,12 @@ def rrf(ranked: DataFrame, by: list[str], key: str, k: int = RRF_K, lane: str =
     return fused.withColumn("fused_rank", F.row_number().over(order))
 
 
-def hybrid(atoms: DataFrame, queries: DataFrame, limit: int = 10, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
+def hybrid(atoms: DataFrame, queries: DataFrame, limit: int = 10, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, per: tuple[str, ...] = ()) -> DataFrame:
     """Substring and word lanes of every query term, and a vector lane of the whole query, fused.
 
     The terms replace the query where it has any.  With several terms, those
-    that look like identifiers count three times.
+    that look like identifiers count three times.  With ``per``, each of its
+    values is an index of its own and has its own best ``limit``.
     """
     over = max(limit, 12)
     found = queries.select("query_id", "query", T.keyword_terms(F.col("query")).alias("terms"))
@@ -121,13 +125,13 @@ def hybrid(atoms: DataFrame, queries: DataFrame, limit: int = 10, vectors: DataF
     each = parts.select("part").distinct().select(F.col("part").alias("query_id"), F.col("part").alias("query"))
     lanes = None
     for name, lane in (("trigram", substring_lane), ("word", word_lane)):
-        ranked = top(lane(atoms, each), over).select(F.col("query_id").alias("part"), "id", "rank", F.lit(name).alias("lane"))
+        ranked = top(lane(atoms, each, per=per), over, per).select(F.col("query_id").alias("part"), *per, "id", "rank", F.lit(name).alias("lane"))
         lanes = ranked if lanes is None else lanes.unionByName(ranked)
-    ranked = lanes.join(parts, "part").select("query_id", "lane", "id", "rank", "weight")
+    ranked = lanes.join(parts, "part").select("query_id", *per, "lane", "id", "rank", "weight")
     if vectors is not None and query_vectors is not None:
         near = vector_lane(vectors, query_vectors, over).select("query_id", F.lit("vector").alias("lane"), "id", "rank", F.lit(1).alias("weight"))
         ranked = ranked.unionByName(near)
-    return rrf(ranked, ["query_id"], "id", weight="weight").where(F.col("fused_rank") <= limit)
+    return rrf(ranked, ["query_id", *per], "id", weight="weight").where(F.col("fused_rank") <= limit)
 
 
 def expand_edges(hits: DataFrame, edges: DataFrame, factor: float = 0.5, limit: int = 25, edge_type: str | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import graph, routing, search, store
+from ..operators.materialise import cut
 from ..sources import connectors, storage
 from ..streaming import log
 from . import evaluate
@@ -215,7 +216,7 @@ def routing_signature(spark, d):
 def shards_of(spark, d):
     terms = signature_of(spark, d).groupBy("shard_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("routing_terms"))
     sizes = source_documents(spark, d).groupBy("shard_key").agg(F.max("doc_id").alias("updated_at"))
-    return sizes.join(terms, "shard_key", "left").select("shard_key", F.col("shard_key").alias("display_name"), F.coalesce("routing_terms", F.array().cast("array<string>")).alias("routing_terms"), F.lit("ACTIVE").alias("status"), "updated_at")
+    return cut(sizes.join(terms, "shard_key", "left").select("shard_key", F.col("shard_key").alias("display_name"), F.coalesce("routing_terms", F.array().cast("array<string>")).alias("routing_terms"), F.lit("ACTIVE").alias("status"), "updated_at"))
 
 
 def bench_queries(spark, d):
@@ -271,7 +272,7 @@ def parse_hint(spark, d):
 
 _SUM_STOP = "[" + ", ".join(f"'{w}'" for w in T.SUMMARY_STOP) + "]"
 _SUPER = f"""words AS (SELECT cluster, id, unnest(list_distinct(list_filter(string_split_regex(lower(title || ' ' || body), '[^a-z0-9_]+'), lambda w: length(w) >= 3 AND NOT list_contains({_SUM_STOP}, w)))) AS term FROM {ATOMS}),
-heavy AS (SELECT cluster, term, count(*) * greatest(1.0, length(term) / 4.0) AS weight FROM words GROUP BY ALL),
+heavy AS (SELECT cluster, term, count(*) * greatest(1.0, length(term) / 4.0) AS weight FROM words GROUP BY cluster, term),
 sup AS (SELECT cluster, term, weight, round(weight / max(weight) OVER (PARTITION BY cluster), 3) AS signature, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term) AS rank FROM heavy) WHERE rank <= 16)"""
 
 
@@ -329,7 +330,7 @@ def edges_of(spark, d):
 
 
 @query("""WITH old AS (SELECT l_partkey AS src, l_suppkey AS dst, 'supplied' AS edge_type, max(l_discount) AS weight FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL),
-fresh AS (SELECT l_partkey AS src, l_suppkey AS dst, 'supplied' AS edge_type, arg_max(CASE WHEN l_linestatus = 'O' THEN l_tax ELSE 1 END, l_orderkey * 100 + l_linenumber) AS w FROM lineitem WHERE l_returnflag = 'N' GROUP BY ALL)
+fresh AS (SELECT * FROM (SELECT l_partkey AS src, l_suppkey AS dst, 'supplied' AS edge_type, CASE WHEN l_linestatus = 'O' THEN l_tax ELSE 1 END AS w, l_orderkey * 100 + l_linenumber AS seq FROM lineitem WHERE l_returnflag = 'N') QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY seq DESC, w DESC) = 1)
 SELECT src, dst, edge_type, coalesce(w, weight) AS weight FROM old FULL JOIN fresh USING (src, dst, edge_type)""")
 def edge_upsert(spark, d):
     lines = table(spark, d, "lineitem").withColumn("edge_type", F.lit("supplied"))
@@ -521,7 +522,7 @@ def stable_frontier(spark, d):
     return log.stable_frontier(event_vectors(spark, d))
 
 
-@query("SELECT * FROM (SELECT user_id AS node, sum(length(props)) AS bytes FROM events GROUP BY 1) WHERE bytes > 64 ORDER BY node LIMIT 100")
+@query("SELECT * FROM (SELECT user_id AS node, sum(length(props))::BIGINT AS bytes FROM events GROUP BY 1) WHERE bytes > 64 ORDER BY node LIMIT 100")
 def compact_candidates(spark, d):
     sizes = table(spark, d, "events").groupBy(F.col("user_id").alias("node")).agg(F.sum(F.length("props")).alias("bytes"))
     return log.compact_candidates(sizes, 64)

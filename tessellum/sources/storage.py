@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def convert(df: DataFrame, column: str, output: str = "text") -> DataFrame:
     """df with the plain text of a markup column, in Arrow batches."""
 
     @F.pandas_udf("string")
-    def run(batches: Iterator) -> Iterator:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for values in batches:
             yield values.map(to_text)
 
