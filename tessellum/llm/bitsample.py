@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import connected, cut, tasks
+from .shared import connected, cut, lean, tasks, written
 from .textvec import U64, binary_column, binary_rows, blocks, mix, segment_sums, word_hashes
 
 BITS = 128
@@ -35,6 +35,8 @@ TABLES = 36
 SAMPLED = 12
 CAP = 4096
 AGAIN = 6
+#: Keys of dropped rows up to this many (about 10 MB) are broadcast.
+BROADCAST_ROWS = 200_000
 _LANES = U64(0x0101010101010101)
 
 
@@ -83,7 +85,7 @@ def with_signature(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
 
     schema = ", ".join([f"{c} {kinds[name]}" for c, name in zip(inner, carry)] + ["sig binary"])
     chosen = docs.select(F.col(text).alias("_text"), *[F.col(c).alias(i) for c, i in zip(carry, inner)])
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(lean(run), schema)
 
 
 def plan_tables(tables: int, bits: int, seed: int = 7) -> np.ndarray:
@@ -190,9 +192,9 @@ def near_edges(sigs: DataFrame, max_distance: int = MAX_DISTANCE, tables: int =
         if held:
             yield flush(*(np.concatenate(x) for x in zip(*held)))
 
-    spreaded = sigs.select("sig").mapInArrow(spread, "key bigint, sig binary")
+    spreaded = sigs.select("sig").mapInArrow(lean(spread), "key bigint, sig binary")
     sorted_ = spreaded.repartition(tasks(sigs), "key").sortWithinPartitions("key", "sig")
-    return sorted_.mapInArrow(compare, "a binary, b binary").distinct()
+    return sorted_.mapInArrow(lean(compare), "a binary, b binary").distinct()
 
 
 def groups(signed: DataFrame, **how) -> DataFrame:
@@ -208,7 +210,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     group_id is the least doc_id of the group (null if all are null).
     """
-    signed = cut(with_signature(docs.withColumn("_h", F.xxhash64(text)), text, [doc_id, "_h"]))
+    signed = written(with_signature(docs, text, [doc_id]))
     members = signed.join(groups(signed, **how), "sig")
     # counts and the first row come from a partial aggregation, so one large group is no hot window
     first = members.groupBy("root").agg(F.min("c0").alias("group_id"), F.count("*").alias("group_size"))
@@ -220,18 +222,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """docs with one row of each group, columns unchanged; rows outside groups don't take part in the choice."""
-    signed = with_signature(docs, text, docs.columns)
-    inner = {f"c{i}": name for i, name in enumerate(docs.columns)}
-    back = {name: i for i, name in inner.items()}
-    slim = with_signature(docs, text, [doc_id])
-    found = groups(cut(slim), **how)
-    size = found.count()
-    grouped = signed.join(F.broadcast(found) if size <= 200_000 else found, "sig", "left")
-    # rows outside groups are their own partition each, so no window is hot but that of a large group
-    key, body = F.coalesce(F.col("root"), F.lit(b"")), F.col(back[text])
-    alone = grouped.where("root IS NULL")
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col(back[doc_id]).asc_nulls_last(), F.xxhash64(body)))
-    stay = grouped.where("root IS NOT NULL").withColumn("_r", rank).where("_r = 1")
-    names = [F.col(i).alias(name) for i, name in inner.items()]
-    return alone.select(*names).unionByName(stay.select(*names))
+    """docs with one row of each group, columns unchanged.
+
+    Rows go by two hashes, of id and text.  The rows to drop are broadcast up to
+    BROADCAST_ROWS, beyond that joined; texts never pass through Python here.
+    """
+    keyed = docs.select(doc_id, text, F.xxhash64(doc_id).alias("_k1"), F.xxhash64(text).alias("_k2"))
+    signed = written(with_signature(keyed, text, [doc_id, "_k1", "_k2"]).where("sig IS NOT NULL"))
+    rows = signed.groupBy("sig", "c0", "c1", "c2").agg(F.count("*").alias("n")).join(groups(signed, **how), "sig")
+    order = F.struct(F.col("c0").isNull().alias("last"), F.col("c0"), F.col("c2"))
+    stay = rows.groupBy("root").agg(F.min(order).alias("stay"))
+    judged = written(rows.join(stay, "root").select(F.col("c1").alias("_k1"), F.col("c2").alias("_k2"), "n", (order == F.col("stay")).alias("stays")))
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]
+    every = docs.toDF(*inner).withColumns({"_k1": F.xxhash64(inner[names.index(doc_id)]), "_k2": F.xxhash64(inner[names.index(text)])})
+    gone, repeated = judged.where("NOT stays").select("_k1", "_k2"), judged.where("stays AND n > 1").select("_k1", "_k2")
+    keep = every.join(_sized(gone), ["_k1", "_k2"], "left_anti")
+    if repeated.limit(1).count():
+        once = keep.join(_sized(repeated), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+        keep = keep.join(_sized(repeated), ["_k1", "_k2"], "left_anti").unionByName(once)
+    return keep.select(*[F.col(i).alias(name) for i, name in zip(inner, names)])
+
+
+def _sized(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys

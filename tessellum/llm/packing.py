@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import lean, written
 from .textvec import WORD_BYTE, blocks
 
 CAPACITY = 4096
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity:
             full += int(whole.sum())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.full(len(n), task)), pa.array(rank), pa.array(before)], names=["doc", "tokens", "task", "rank", "full"])
 
-    measured = written(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("t")).mapInArrow(measure, f"doc {kind}, tokens bigint, task bigint, rank bigint, full bigint").where("tokens > 0"))
+    measured = written(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("t")).mapInArrow(lean(measure), f"doc {kind}, tokens bigint, task bigint, rank bigint, full bigint").where("tokens > 0"))
     rest = F.expr(f"tokens % {capacity}")
     sizes = measured.groupBy(rest.alias("length"), "task").agg((F.max("rank") + 1).alias("n"), F.lit(0).alias("z"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
@@ -186,4 +186,4 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity:
 
     ranked = measured.withColumn("length", rest).join(starts, ["length", "task"]).join(full_starts, "task")
     ready = ranked.select("doc", "tokens", (F.col("rank") + F.col("before")).alias("rank"), (F.col("full") + F.col("full_before")).alias("full"))
-    return ready.mapInArrow(place, f"doc_id {kind}, piece bigint, start bigint, n_tokens bigint, bin_id bigint, offset bigint")
+    return ready.mapInArrow(lean(place), f"doc_id {kind}, piece bigint, start bigint, n_tokens bigint, bin_id bigint, offset bigint")

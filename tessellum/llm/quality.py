@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import fit_dense, sigmoid
-from .shared import written
+from .shared import lean, written
 from .textvec import WORD_BYTE, blocks, segment_sums
 
 MAX_LABELLED = 20_000
@@ -80,7 +80,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             x = statistics(batch.column(0))
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1)], names=[*(f"x{i}" for i in range(N_FEATURES)), "y"])
 
-    got = known.mapInArrow(run, ", ".join(f"x{i} double" for i in range(N_FEATURES)) + ", y int").toArrow()
+    got = known.mapInArrow(lean(run), ", ".join(f"x{i} double" for i in range(N_FEATURES)) + ", y int").toArrow()
     y = got.column("y").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return Evidence(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1))
@@ -121,7 +121,7 @@ def assess(docs: DataFrame, evidence: Evidence, text: str = "text", doc_id: str
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(shared.value.of(batch.column(0)))], names=["doc_id", "host", "path", "p"])
 
     chosen = docs.select(F.col(text).alias("t"), F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(path).alias("path"))
-    scored = written(chosen.mapInArrow(run, f"doc_id {kinds[doc_id]}, host {kinds[host]}, path {kinds[path]}, p double"))
+    scored = written(chosen.mapInArrow(lean(run), f"doc_id {kinds[doc_id]}, host {kinds[host]}, path {kinds[path]}, p double"))
     sites, mean = posteriors(scored)
     s = written(sites.select(F.col("host").alias("h"), F.col("path").alias("q"), "n", "total", "prior", "strength"))
     joined = scored.join(s, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))

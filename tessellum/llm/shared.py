@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -83,6 +84,33 @@ def connected(edges: DataFrame) -> DataFrame:
     return e.selectExpr("a AS node", "b AS root").unionByName(e.selectExpr("b AS node", "b AS root").distinct())
 
 
+SLICE_BYTES = 16 << 20
+
+
+def release() -> None:
+    """Give freed memory back to the system, so that an idle worker holds little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """A function for mapInArrow that sees slices of at most SLICE_BYTES (or one row) and gives freed memory back."""
+
+    def wrapped(batches):
+        def slices():
+            for batch in batches:
+                step = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, SLICE_BYTES))
+                for at in range(0, max(batch.num_rows, 1), step):
+                    yield batch.slice(at, step)
+
+        yield from run(slices())
+        release()
+
+    return wrapped
+
+
 class KeyTable:
     """A (key BIGINT, value BIGINT) table that a Python pass over documents looks keys up in.
 
@@ -112,7 +140,7 @@ class KeyTable:
                 for rows, keys in keys_of(batch.column(0)):
                     yield pa.RecordBatch.from_arrays([batch.column(1).field(0).take(pa.array(rows)), batch.column(1).field(1).take(pa.array(rows)), pa.array(keys)], names=["d1", "d2", "key"])
 
-        each = marked.select(columns[-1], "_doc").mapInArrow(spread, "d1 bigint, d2 bigint, key bigint").distinct()
+        each = marked.select(columns[-1], "_doc").mapInArrow(lean(spread), "d1 bigint, d2 bigint, key bigint").distinct()
         name = self.entries.columns
         hit = each.join(self.entries.toDF("key", "value") if name != ["key", "value"] else self.entries, "key")
         lists = hit.groupBy("d1", "d2").agg(F.flatten(F.collect_list(F.array("key", "value"))).alias("_keys"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import KeyTable, find, tasks, written
+from .shared import find, KeyTable, lean, tasks, written
 from .textvec import U64, binary_column, blocks, mix, segment_sums
 
 LEADING = 4
@@ -112,7 +112,7 @@ def line_counts(docs: DataFrame, text: str) -> DataFrame:
             key, at, n = np.unique(line[once], return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(leaf[once][at]), pa.array(key), pa.array(n)], names=["leaf", "line", "n"])
 
-    found = docs.select(text).mapInArrow(run, "leaf bigint, line bigint, n bigint")
+    found = docs.select(text).mapInArrow(lean(run), "leaf bigint, line bigint, n bigint")
     return written(found.groupBy("leaf", "line").agg(F.sum("n").alias("n")))
 
 
@@ -135,7 +135,7 @@ def _vectors(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                 tokens = pa.array([x.token[a : a + n].tobytes() for a, n in zip(x.first[use], x.count[use])], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x.leaf[use]), pa.array(x.line[use]), tokens], names=["leaf", "line", "tokens"])
 
-    return table.attach(docs.select(text), [text], leaves).mapInArrow(run, "leaf bigint, line bigint, tokens binary").dropDuplicates(["leaf", "line"])
+    return table.attach(docs.select(text), [text], leaves).mapInArrow(lean(run), "leaf bigint, line bigint, tokens binary").dropDuplicates(["leaf", "line"])
 
 
 def grow(tokens: np.ndarray, similarity: float) -> np.ndarray:
@@ -183,7 +183,7 @@ def generalised(docs: DataFrame, text: str, counts: DataFrame, min_docs: int, si
             yield flush(pa.Table.from_batches(held))
 
     placed = vectors.repartition(tasks(docs), "leaf").sortWithinPartitions("leaf", F.desc("n"), "line").select("leaf", "line", "tokens")
-    return written(placed.mapInArrow(run, "line bigint, template bigint"))
+    return written(placed.mapInArrow(lean(run), "line bigint, template bigint"))
 
 
 def boilerplate(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
@@ -215,7 +215,7 @@ def boilerplate(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, s
             template, times = np.unique(pairs[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(template), pa.array(times)], names=["template", "n"])
 
-    seen = table.attach(docs.select(text), [text], _keys).mapInArrow(run, "template bigint, n bigint")
+    seen = table.attach(docs.select(text), [text], _keys).mapInArrow(lean(run), "template bigint, n bigint")
     carried = seen.groupBy("template").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("template")
     return written(recurring.join(carried, "template").select("line", "template"))
 
@@ -264,4 +264,4 @@ def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, si
 
     schema = ", ".join(f"{c} {kind}" for c, (_, kind) in zip(inner, rest.dtypes))
     given = table.attach(rest.toDF(*inner), [*inner[:at], *inner[at + 1 :], inner[at]], _keys)
-    return given.mapInArrow(run, f"{schema}, n_dropped bigint").toDF(*rest.columns, "n_dropped")
+    return given.mapInArrow(lean(run), f"{schema}, n_dropped bigint").toDF(*rest.columns, "n_dropped")

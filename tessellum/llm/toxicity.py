@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import fit_sparse, sigmoid, sparse_dot
-from .shared import find
+from .shared import find, lean
 from .textvec import U64, _powers, blocks, hash_word, mix, word_spans
 
 PREFIXES = (4, 5, 6, 7, 8)
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     nothing = ToxicityModel(np.zeros(0, np.int64), np.zeros(0), 0.0)
     if not n_good or not n_bad:
         return nothing
-    counted = known.mapInArrow(tally, "f bigint, good bigint, bad bigint").groupBy("f").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).where(F.expr(f"good + bad >= {min_docs}"))
+    counted = known.mapInArrow(lean(tally), "f bigint, good bigint, bad bigint").groupBy("f").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).where(F.expr(f"good + bad >= {min_docs}"))
     odds = F.abs(F.log((F.col("bad") + 0.5) / (n_bad + 1.0)) - F.log((F.col("good") + 0.5) / (n_good + 1.0))) / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     best = counted.where(odds >= 2.0).orderBy(F.desc(odds), "f").limit(max_features).select("f").toArrow().column(0).to_numpy()
     terms = {t: term_features(t).view(np.int64) for group in identities for t in group}
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             pair = lambda a, b: pa.ListArray.from_arrays(pa.array(a, pa.int32()), pa.array(b))
             yield pa.RecordBatch.from_arrays([batch.column(1), pair(at, place), pair(at, value), pa.array(words), pair(said, spotted[what])], names=["y", "place", "value", "words", "terms"])
 
-    got = known.mapInArrow(describe, "y int, place array<bigint>, value array<double>, words bigint, terms array<bigint>").toArrow()
+    got = known.mapInArrow(lean(describe), "y int, place array<bigint>, value array<double>, words bigint, terms array<bigint>").toArrow()
     y = got.column("y").to_numpy().astype(float)
     place = [np.asarray(x, np.int64) for x in got.column("place").to_pylist()]
     value = [np.asarray(x, float) for x in got.column("value").to_pylist()]
@@ -185,4 +185,4 @@ def classify(docs: DataFrame, model: ToxicityModel, text: str = "text", doc_id:
             p = shared.value.scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(p, 6)), pa.array(p >= threshold)], names=["doc_id", "score", "toxic"])
 
-    return docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).mapInArrow(run, f"doc_id {kind}, score double, toxic boolean")
+    return docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).mapInArrow(lean(run), f"doc_id {kind}, score double, toxic boolean")
