@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .textvec import WORD_BYTE, blocks, segment_sums
 
 GRAM = 4
@@ -139,10 +140,13 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", per_language
     and is among its max_grams most frequent ones (ties by value).  The sample
     bounds what reaches the driver; the corpus size doesn't.
     """
-    rows = docs.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).alias("l"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    # WindowGroupLimit keeps per_language rows of each input partition, so few rows are shuffled
-    order = Window.partitionBy("l").orderBy("h")
-    picked = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("l", "t")
+    known = docs.where(F.col(label).isNotNull() & (F.length(text) > 0))
+    sizes = known.groupBy(F.col(label).alias("l")).agg(F.count("*").alias("size"))
+    least = F.xxhash64(text).bitwiseAND((1 << 62) - 1)
+    rows = known.select(F.col(label).alias("l"), least.alias("h"), F.col(text).alias("t")).join(F.broadcast(sizes), "l")
+    # about twice the sample by a bound on the hash, so what is shuffled doesn't grow with the corpus
+    few = rows.where(F.col("h") < (2 * per_language + 64) / F.col("size") * float(1 << 62))
+    picked = few.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= per_language).select("l", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +157,7 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", per_language
                 value, n = np.unique(np.concatenate(keys), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(value), pa.string()), pa.array(value.astype(np.int64)), pa.array(n)], names=["l", "g", "n"])
 
-    counted = picked.mapInArrow(count, "l string, g bigint, n bigint").groupBy("l", "g").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    counted = picked.mapInArrow(lean(count), "l string, g bigint, n bigint").groupBy("l", "g").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     best = counted.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "g"))).where(F.col("r") <= max_grams).select("l", "g").toArrow()
     language, gram = np.array(best.column("l").to_pylist(), dtype=object), best.column("g").to_numpy()
     return LanguageModel.build({x: gram[language == x] for x in set(language)}, positions, hashes)
@@ -178,5 +182,5 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", min_shar
             yield pa.RecordBatch.from_arrays([*batch.columns, *said.values()], names=[*inner, *said])
 
     schema = ", ".join(f"{c} {kind}" for c, (_, kind) in zip(inner, rest.dtypes))
-    out = rest.toDF(*inner).mapInArrow(run, f"{schema}, {VERDICT}")
+    out = rest.toDF(*inner).mapInArrow(lean(run), f"{schema}, {VERDICT}")
     return out.select(*[F.col(c).alias(name) for c, name in zip(inner, rest.columns)], *extra)
