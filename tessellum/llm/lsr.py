@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import tasks
+from .shared import lean, tasks
 from .textvec import U64, blocks, mix, word_hashes, word_spans
 
 FEATURES = 1 << 14
@@ -44,7 +44,7 @@ VERBATIM = 0.8
 PARAPHRASE = 0.55
 ANSWER = 0.8
 ITEMS = 50_000
-_SKETCH_ROWS_EACH = 8
+_SKETCH_ROWS_EACH = 2
 
 
 def feature(h: np.ndarray) -> np.ndarray:
@@ -101,8 +101,8 @@ def _count(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, int]:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "sums"])
 
-    rows = docs.select(text).mapInArrow(run, "part bigint, sums binary")
-    found = rows.repartition(min(tasks(docs), 24), "part").mapInArrow(add, "part bigint, sums binary").toArrow()
+    rows = docs.select(text).mapInArrow(lean(run), "part bigint, sums binary")
+    found = rows.repartition(min(tasks(docs), 128), "part").mapInArrow(lean(add), "part bigint, sums binary").toArrow()
     by = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
     last = ROWS // _SKETCH_ROWS_EACH
     if last not in by:
@@ -245,7 +245,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
                 rows, which = [r for r, _ in found], [items.ids[j] for _, j in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(which, type=_arrow(kinds[1])), pa.array([round(s, 6) for s, _ in found.values()], pa.float64()), pa.array([round(r, 6) for _, r in found.values()], pa.float64())], names=["doc_id", "item_id", "overlap", "answer_overlap"])
 
-        part = docs.select(doc_id, text).mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, overlap double, answer_overlap double")
+        part = docs.select(doc_id, text).mapInArrow(lean(run), f"doc_id {kinds[0]}, item_id {kinds[1]}, overlap double, answer_overlap double")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, overlap double, answer_overlap double")
 
@@ -287,5 +287,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **h
                 keep[[r for r, _ in found]] = False
                 yield batch.filter(pa.array(keep))
 
-        left = left.toDF(*inner).mapInArrow(run, schema).toDF(*names)
+        left = left.toDF(*inner).mapInArrow(lean(run), schema).toDF(*names)
     return left
