@@ -28,11 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_KEYS, member, tasks, written
+from .shared import BROADCAST_KEYS, lean, member, tasks, written
 from .textvec import U64, blocks, mix, word_hashes
 
 MU = 1.0
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 START = U64(1)
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
@@ -60,8 +60,11 @@ def _pairs(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return before, mix(before * U64(0xD6E8FEB86659FD93) + h) >> U64(8)
 
 
-def _bucketed(keys: np.ndarray, weights: np.ndarray, target: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys ordered by (bucket, key), all and target counts, and each input's place among them."""
+def _bucketed(keys: np.ndarray, weights: np.ndarray, target: np.ndarray, buckets: int, last: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys ordered by (bucket, key), all and target counts, and each input's place among them.
+
+    last: what the last key's target count has besides.
+    """
     unique, place = np.unique(keys, return_inverse=True)
     bucket = (mix(unique) % U64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -69,7 +72,10 @@ def _bucketed(keys: np.ndarray, weights: np.ndarray, target: np.ndarray, buckets
     rank[order] = np.arange(len(order))
     place = rank[place]
     every = np.bincount(place, weights, len(unique)).astype(np.uint32)
-    wanted = np.bincount(place, weights * target, len(unique)).astype(np.uint32)
+    wanted = np.bincount(place, weights * target, len(unique))
+    if last:
+        wanted[place[-1]] += last
+    wanted = wanted.astype(np.uint32)
     return unique[order], np.searchsorted(bucket[order], np.arange(buckets + 1)), np.stack([every, wanted]), place
 
 
@@ -103,9 +109,14 @@ class _Block:
         flag = target[row].astype(np.float64)
         pair_keys, pair_at, pair_n, pair_place = _bucketed(pairs, np.ones(len(pairs)), flag, buckets)
         # a context's own count is how often it comes before a word; words that end a text count 0
-        both = np.concatenate([contexts, words])
-        word_keys, word_at, word_n, word_place = _bucketed(both, np.append(np.ones(len(contexts)), np.zeros(len(words))), np.append(flag, flag), buckets)
-        context_place = word_place[: len(contexts)]
+        n_tokens = len(words)
+        starts = contexts == START
+        follow = np.zeros(n_tokens + 1)  # 1 for a word that another follows
+        follow[:n_tokens][np.flatnonzero(~starts) - 1] = 1
+        follow[n_tokens], wanted = starts.sum(), np.append(flag, 0.0)
+        word_keys, word_at, word_n, word_place = _bucketed(np.append(words, START), follow, wanted, buckets, float((flag * starts).sum()))
+        context_place = np.where(starts, word_place[n_tokens], np.append(0, word_place[:-2]) if n_tokens else word_place[:0])
+        del words, contexts, pairs, starts, follow, wanted
         order = np.lexsort((pair_place, row))
         pair_place, context_place, row = pair_place[order], context_place[order], row[order]
         step = np.diff(pair_place, prepend=0)
@@ -197,9 +208,9 @@ def score(docs: DataFrame, target: DataFrame, text: str = "text", doc_id: str =
         if block.docs:
             yield block.rows_of(number, buckets)
 
-    asked = written(given.mapInArrow(ask, f"block bigint, bucket bigint, docs array<{kind}>, target array<boolean>, lens array<bigint>, keys binary, a binary, b binary"), "uncompressed")
+    asked = written(given.mapInArrow(lean(ask), f"block bigint, bucket bigint, docs array<{kind}>, target array<boolean>, lens array<bigint>, keys binary, a binary, b binary"), "uncompressed")
     requests = asked.where("bucket >= 0").select("block", "bucket", "keys", "a", "b").repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
-    replies = written(requests.mapInArrow(lambda batches: _add_up(batches, buckets), "block bigint, bucket bigint, a binary, b binary, words bigint, every bigint, wanted bigint"), "uncompressed")
+    replies = written(requests.mapInArrow(lean(lambda batches: _add_up(batches, buckets)), "block bigint, bucket bigint, a binary, b binary, words bigint, every bigint, wanted bigint"), "uncompressed")
     sums = replies.where("block = -1").agg(F.sum("words"), F.sum("every"), F.sum("wanted")).first()
     words, every, wanted = (int(x or 0) for x in sums)
     ratio = wanted / every if every else 1.0
@@ -221,7 +232,7 @@ def score(docs: DataFrame, target: DataFrame, text: str = "text", doc_id: str =
             at = np.append(0, np.cumsum(lens))
             mean = [np.add.reduceat(np.append(x, 0), np.minimum(at[:-1], len(x)))[: len(lens)] / np.maximum(lens, 1) for x in lost]
             none = lens == 0
-            cols = [pa.array(np.round(x, 6), mask=none) for x in (mean[0], mean[1], mean[0] - mean[1])]
+            cols = [pa.array(np.round(x, 9), mask=none) for x in (mean[0], mean[1], mean[0] - mean[1])]
             return pa.RecordBatch.from_arrays([pa.array(docs_, _kind(kind)), pa.array(lens), *cols], names=["doc_id", "n_tokens", "loss_target", "loss_background", "difference"])
 
         for batch in batches:
@@ -236,8 +247,22 @@ def score(docs: DataFrame, target: DataFrame, text: str = "text", doc_id: str =
     heads = asked.where("bucket = -1").select("block", "bucket", "docs", "target", "lens", "a", "b")
     tails = replies.where("block >= 0").select("block", "bucket", F.lit(None).cast(f"array<{kind}>").alias("docs"), F.lit(None).cast("array<boolean>").alias("target"), F.lit(None).cast("array<bigint>").alias("lens"), "a", "b")
     together = heads.unionByName(tails).repartition(tasks(docs), "block").sortWithinPartitions("block", "bucket")
-    return together.mapInArrow(answer, f"doc_id {kind}, n_tokens bigint, loss_target double, loss_background double, difference double")
+    return together.mapInArrow(lean(answer), f"doc_id {kind}, n_tokens bigint, loss_target double, loss_background double, difference double")
 
 
 def _kind(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+
+def oracle() -> str:
+    """The scores over ``documents`` with the targets of ``labels`` (quality 1), in DuckDB's SQL, rounded to 4 places."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\\x00-\\x7F])+') AS words, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS t FROM documents),
+e AS (SELECT uid, t, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
+p AS (SELECT uid, t, w, coalesce(lag(w) OVER (PARTITION BY uid ORDER BY i), '<s>') AS v FROM e),
+n AS (SELECT v, w, count(*) AS cb, count(*) FILTER (WHERE t) AS ct FROM p GROUP BY ALL),
+c AS (SELECT v, sum(cb) AS nb, sum(ct) AS nt FROM n GROUP BY v),
+g AS (SELECT (SELECT count(DISTINCT w) FROM e) AS size, (SELECT count(*) FILTER (WHERE t) / count(*)::DOUBLE FROM e) AS r),
+s AS (SELECT uid, avg(ln(nt - t::INT + {MU}) - ln(ct - t::INT + {MU} / size)) AS lt, avg(ln(r * (nb - 1) + {MU}) - ln(r * (cb - 1) + {MU} / size)) AS lb
+  FROM p JOIN n USING (v, w) JOIN c USING (v) CROSS JOIN g GROUP BY uid)
+SELECT doc_id, len(words)::BIGINT AS n_tokens, round(lt, 4) AS loss_target, round(lb, 4) AS loss_background, round(lt - lb, 4) AS difference FROM d LEFT JOIN s USING (uid)"""

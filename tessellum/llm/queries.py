@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bitsample, language, lm, lsr, mpeg, packing, quality, secrets, templates, toxicity
-from .shared import table
+from .shared import lean, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +22,8 @@ def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return lm.score(table(spark, sf_dir, "documents"), target)
+    scores = lm.score(table(spark, sf_dir, "documents"), target)
+    return scores.select("doc_id", "n_tokens", *[F.round(c, 4).alias(c) for c in ("loss_target", "loss_background", "difference")])
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def page_audio(pages: DataFrame) -> DataFrame:
                 made.append(None if html is None else mpeg.encode(html.encode(), url or "", version, rate, channels, kbits, crc=(page or 0) % 3 > 0, table=(page or 0) % 5 > 0)[0])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["page_id", "audio"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id bigint, audio binary")
+    return pages.select("page_id", "url", "html").mapInArrow(lean(run), "page_id bigint, audio binary")
 
 
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +73,4 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secret_ownership, op3_cross_entropy_difference, op4_language_id, op5_best_fit_packing, op6_toxicity, op7_mpeg_audio, op8_site_quality, op9_line_templates, op10_simhash_groups)}
-ORACLES = {"op2_secret_ownership": secrets.oracle()}
+ORACLES = {"op2_secret_ownership": secrets.oracle(), "op3_cross_entropy_difference": lm.oracle()}
