@@ -3,8 +3,9 @@
 A stream is what lies between an ID3v2 tag at the start and APEv2 and ID3v1 tags
 at the end.  A frame begins a run if the header it leads to fits it (version,
 layer, sample rate) or if it ends the stream; within a run the next header alone
-must be valid and fit.  Where a run breaks, the parser searches for the next
-frame that begins one.  A Xing, Info or VBRI frame holds the table and isn't
+must be valid and fit.  A frame that leads nowhere while another run begins inside
+it is none.  Where a run breaks, the parser searches for the next frame that
+begins one.  A Xing, Info or VBRI frame holds the table and isn't
 audio; a LAME extension's delay and padding are taken off the exact duration.
 
 Defined results: a null value has status 'null' and no other field; bytes
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
+
 _V1 = {1: (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448), 2: (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384), 3: (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)}
 _V2 = {1: (0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256), 2: (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)}
 _V2[3] = _V2[2]
@@ -57,6 +60,7 @@ def _crc_table() -> np.ndarray:
 
 
 CRC = _crc_table()
+_CRC_LIST = CRC.tolist()
 
 
 def crc16(rows: np.ndarray) -> np.ndarray:
@@ -145,16 +149,22 @@ def walk(h: dict[str, np.ndarray], start: int, end: int) -> tuple[list[int], int
     link, starters = np.where(follows, place, -1).tolist(), np.flatnonzero(begins)
     frames, resyncs, skipped, cut, mark, i = [], 0, 0, False, start, -1
     stops, fits = then.tolist(), (then <= end).tolist()
-    positions = at.tolist()
+    positions, begins_run, begin_at = at.tolist(), begins.tolist(), at[starters]
     while True:
         if i < 0:  # out of step: the next frame that begins a run
-            k = int(np.searchsorted(at[starters], mark)) if len(starters) else 0
+            k = int(np.searchsorted(begin_at, mark))
             if k >= len(starters):
                 break
             i = int(starters[k])
             if positions[i] > mark:
                 skipped += positions[i] - mark
                 resyncs += bool(frames)
+        if link[i] < 0 and stops[i] != end:  # leads nowhere: false if a run begins inside it
+            k = int(np.searchsorted(begin_at, positions[i] + 1))
+            if k < len(begin_at) and begin_at[k] < stops[i] and not begins_run[i]:
+                i = int(starters[k])
+                skipped += positions[i] - mark
+                resyncs += 1
         if not fits[i]:
             cut = True
             break
@@ -255,7 +265,7 @@ def audio_info(df: DataFrame, column: str = "audio") -> DataFrame:
 
     schema = ", ".join([f"{i} {kinds[c]}" for i, c in zip(inner, rest)] + [f"info {INFO}"])
     chosen = df.select(F.col(column), *[F.col(c).alias(i) for c, i in zip(rest, inner)])
-    return chosen.mapInArrow(run, schema).select(*[F.col(i).alias(c) for i, c in zip(inner, rest)], F.col("info").alias("audio_info"))
+    return chosen.mapInArrow(lean(run), schema).select(*[F.col(i).alias(c) for i, c in zip(inner, rest)], F.col("info").alias("audio_info"))
 
 
 def _arrow_struct() -> pa.StructType:
@@ -273,8 +283,10 @@ def frame(payload: bytes, version: int, kbit: int, rate: int, channels: int, crc
     body = payload[:room].ljust(room, b"\0")
     check = b""
     if crc:
-        protected = np.frombuffer(head[2:] + body[: side_info(version, channels)], np.uint8)[None]
-        check = int(crc16(protected)[0]).to_bytes(2, "big")
+        c = 0xFFFF
+        for byte in head[2:] + body[: side_info(version, channels)]:
+            c = (c << 8) & 0xFFFF ^ _CRC_LIST[c >> 8 ^ byte]
+        check = c.to_bytes(2, "big")
     return head + check + body, min(len(payload), room)
 
 
