@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 COMMON = 3
 PATTERN = (
     r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|[sr]k_live_[0-9A-Za-z]{16,}"
@@ -48,7 +50,7 @@ def findings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner:
 
 def ownership(docs: DataFrame, common: int = COMMON, **columns) -> DataFrame:
     """Each finding with n_docs, n_owners, n_repositories of its value and the verdict."""
-    found = findings(docs, **columns)
+    found = written(findings(docs, **columns))  # used twice; the texts are scanned once
     places = found.groupBy("hash", "owner", "repo").agg(F.countDistinct("doc_id").alias("docs"))
     owners = places.groupBy("hash", "owner").agg(F.sum("docs").alias("docs"), F.count("*").alias("repos"))
     spread = owners.groupBy("hash").agg(F.sum("docs").alias("n_docs"), F.count("*").alias("n_owners"), F.sum("repos").alias("n_repositories"))
