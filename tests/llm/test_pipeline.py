@@ -19,7 +19,7 @@ def folder(spark, tmp_path_factory):
     items = [prose(90_500 + i, 30) + ". " + prose(90_600 + i, 6) + "." for i in range(6)]
     texts = ["\n".join(prose(50 * i + k, 30) for k in range(4)) for i in range(60)]
     texts = [t + "\nhome about contact" if i % 3 == 0 else t for i, t in enumerate(texts)]
-    texts += [texts[0], texts[1], edited(texts[2], 1, 0.04), texts[4] + "\n" + items[0], texts[5].replace("\n", " " + items[1] + " ", 1), "1234 5678 !!", "", None]
+    texts += [texts[0], texts[1], edited(texts[2], 1, 0.02), texts[4] + "\n" + items[0], texts[5].replace("\n", " " + items[1] + " ", 1), "1234 5678 !!", "", None]
     rows = [(i, t, None if i > 60 and not t else "en", f"src{i % 3}", 0 if t is None else len(t)) for i, t in enumerate(texts)]
     random.Random(1).shuffle(rows)
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{root}/documents.parquet")
