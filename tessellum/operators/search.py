@@ -76,8 +76,10 @@ def word_lane(atoms: DataFrame, queries: DataFrame, title_weight: float = TITLE_
     """BM25 of word tokens; a term of four characters or more matches by prefix, inner punctuation makes a phrase."""
     terms = _terms(queries, T.word_terms(F.col("query")))
     kinds = terms.select("term").distinct().withColumns({"phrase": T.index_tokens(F.col("term")), "prefix": F.length("term") >= 4}).where(F.size("phrase") > 0)
-    tokens = atoms.select(*per, "id", T.index_tokens(F.col("title")).alias("tt"), T.index_tokens(F.col("body")).alias("bt")).withColumn("len", F.size("tt") + F.size("bt"))
-    counted = tokens.join(_maybe_broadcast(kinds)).select(*per, "term", "id", "len", (title_weight * _phrases(F.col("tt"), F.col("phrase"), F.col("prefix")) + body_weight * _phrases(F.col("bt"), F.col("phrase"), F.col("prefix"))).alias("tf"))
+    tokens = atoms.select(*per, "id", T.index_tokens(F.col("title")).alias("tt"), T.index_tokens(F.col("body")).alias("bt"), T.fold(F.concat_ws(" ", "title", "body")).alias("folded")).withColumn("len", F.size("tt") + F.size("bt"))
+    # a match holds its first token as a substring: a cheap test before the token arrays are walked
+    held = F.col("folded").contains(F.element_at("phrase", 1))
+    counted = tokens.join(_maybe_broadcast(kinds), held).select(*per, "term", "id", "len", (title_weight * _phrases(F.col("tt"), F.col("phrase"), F.col("prefix")) + body_weight * _phrases(F.col("bt"), F.col("phrase"), F.col("prefix"))).alias("tf"))
     return _score(counted.where("tf > 0"), terms, tokens, list(per))
 
 
