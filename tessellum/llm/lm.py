@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from .shared import BROADCAST_KEYS, lean, member, tasks, written
 from .textvec import U64, blocks, mix, word_hashes
 
 MU = 1.0
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 START = U64(1)
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
@@ -145,9 +146,10 @@ def _lists(values: pa.Array, rows: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0] + [len(values)] * rows, pa.int32()), values)
 
 
-def _add_up(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Replies of the buckets: each block's keys get their totals over all blocks."""
+def _add_up(batches: Iterator[pa.RecordBatch], buckets: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Replies of the buckets, each block's keys with their totals over all blocks; the blocks' own rows pass through."""
     held: list[tuple] = []
+    kinds: list[pa.DataType] = []
 
     def flush() -> pa.RecordBatch:
         keys = [np.cumsum(expand(k, U64), dtype=U64) for _, _, k, _, _ in held]
@@ -158,12 +160,17 @@ def _add_up(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
         every = int(totals[0].sum()) if held[0][1] < buckets else 0
         wanted = int(totals[1].sum()) if held[0][1] < buckets else 0
         replies = [tuple(squeeze(t[place[a:b]]) for t in totals) for a, b in zip(sizes, sizes[1:])]
-        rows = [(x[0], x[1], r[0], r[1], 0, 0, 0) for x, r in zip(held, replies)] + [(-1, held[0][1], None, None, words, every, wanted)]
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["block", "bucket", "a", "b", "words", "every", "wanted"])
+        rows = [(x[0], x[1], None, None, None, r[0], r[1], 0, 0, 0) for x, r in zip(held, replies)] + [(-1, held[0][1], None, None, None, None, None, words, every, wanted)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
+        kinds = [*(batch.schema.field(n).type for n in names[:7]), pa.int64(), pa.int64(), pa.int64()]
+        own = pa.compute.equal(batch.column(1), -1)
+        heads, asked = batch.filter(own), batch.filter(pa.compute.invert(own))
+        if heads.num_rows:
+            nought = pa.array(np.zeros(heads.num_rows, np.int64))
+            yield pa.RecordBatch.from_arrays([*(heads.column(n) for n in names[:7]), nought, nought, nought], names=names)
+        for row in zip(*(asked.column(n).to_pylist() for n in ("block", "bucket", "keys", "a", "b"))):
             if held and held[0][1] != row[1]:
                 yield flush()
                 held = []
@@ -201,16 +208,22 @@ def score(docs: DataFrame, target: DataFrame, text: str = "text", doc_id: str =
                 flag = member(key.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), shared.value) & ~key.is_null().to_numpy(zero_copy_only=False)
             else:
                 flag = batch.column(2).to_numpy(zero_copy_only=False)
-            block.add(batch.column(0), flag, batch.column(1))
-            if block.size >= block_bytes:
-                yield block.rows_of(number, buckets)
-                number, block = number + 1, _Block()
+            step = max(1, batch.num_rows * (block_bytes // 8) // max(batch.nbytes, 1))
+            for a in range(0, batch.num_rows, step):  # so that a block is hardly larger than it should be
+                part = slice(a, a + step)
+                block.add(batch.column(0)[part], flag[part], batch.column(1)[part])
+                if block.size >= block_bytes:
+                    yield block.rows_of(number, buckets)
+                    number, block = number + 1, _Block()
         if block.docs:
             yield block.rows_of(number, buckets)
 
-    asked = written(given.mapInArrow(lean(ask), f"block bigint, bucket bigint, docs array<{kind}>, target array<boolean>, lens array<bigint>, keys binary, a binary, b binary"), "uncompressed")
-    requests = asked.where("bucket >= 0").select("block", "bucket", "keys", "a", "b").repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
-    replies = written(requests.mapInArrow(lean(lambda batches: _add_up(batches, buckets)), "block bigint, bucket bigint, a binary, b binary, words bigint, every bigint, wanted bigint"), "uncompressed")
+    head = f"block bigint, bucket bigint, docs array<{kind}>, target array<boolean>, lens array<bigint>"
+    names = ["block", "bucket", "docs", "target", "lens", "a", "b", "words", "every", "wanted"]
+    # one shuffle takes requests to their buckets, and the blocks' own rows along with them to anywhere
+    asked = given.mapInArrow(lean(ask), f"{head}, keys binary, a binary, b binary").withColumn("to", F.expr("if(bucket < 0, block, bucket)"))
+    sent = asked.repartition(buckets, "to").drop("to").sortWithinPartitions("bucket", "block")
+    replies = written(sent.mapInArrow(lean(lambda batches: _add_up(batches, buckets, names)), f"{head}, a binary, b binary, words bigint, every bigint, wanted bigint"), "uncompressed")
     sums = replies.where("block = -1").agg(F.sum("words"), F.sum("every"), F.sum("wanted")).first()
     words, every, wanted = (int(x or 0) for x in sums)
     ratio = wanted / every if every else 1.0
@@ -244,9 +257,7 @@ def score(docs: DataFrame, target: DataFrame, text: str = "text", doc_id: str =
         if rows:
             yield flush()
 
-    heads = asked.where("bucket = -1").select("block", "bucket", "docs", "target", "lens", "a", "b")
-    tails = replies.where("block >= 0").select("block", "bucket", F.lit(None).cast(f"array<{kind}>").alias("docs"), F.lit(None).cast("array<boolean>").alias("target"), F.lit(None).cast("array<bigint>").alias("lens"), "a", "b")
-    together = heads.unionByName(tails).repartition(tasks(docs), "block").sortWithinPartitions("block", "bucket")
+    together = replies.where("block >= 0").select(*names[:7]).repartition(tasks(docs), "block").sortWithinPartitions("block", "bucket")
     return together.mapInArrow(lean(answer), f"doc_id {kind}, n_tokens bigint, loss_target double, loss_background double, difference double")
 
 
@@ -257,7 +268,7 @@ def _kind(kind: str) -> pa.DataType:
 def oracle() -> str:
     """The scores over ``documents`` with the targets of ``labels`` (quality 1), in DuckDB's SQL, rounded to 4 places."""
     return f"""
-WITH d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\\x00-\\x7F])+') AS words, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\\x00-\\x7F])+') AS words, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS t FROM documents),
 e AS (SELECT uid, t, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
 p AS (SELECT uid, t, w, coalesce(lag(w) OVER (PARTITION BY uid ORDER BY i), '<s>') AS v FROM e),
 n AS (SELECT v, w, count(*) AS cb, count(*) FILTER (WHERE t) AS ct FROM p GROUP BY ALL),
