@@ -7,18 +7,19 @@ every passage goes to one random sketch row with a random sign; its right
 singular vectors, after the IDF weights, span the latent space, and dividing by
 the singular values keeps the few dominant directions (the languages) from
 drowning the rest.  A second pass projects every passage and every benchmark
-item into that space and takes pairs above ``COSINE`` as candidates.  A
+item into that space, an item longer than a passage also by windows of a
+passage's length, a step apart, and takes pairs above ``COSINE`` as candidates.  A
 candidate is then checked on the words themselves: the longest common
-subsequence of the item and the passage with a step of context either side, and
-the same for the item's answer, its last sentence.  Verbatim passages and
-paraphrases that keep most words in order both pass; shared vocabulary alone
-doesn't.
+subsequence of the whole item and the place where the item would lie, with half
+the item's length, at least a step, of context either side, and the same for the
+item's answer, its last sentence.  Verbatim passages and paraphrases that keep
+most words in order both pass; shared vocabulary alone doesn't.
 
 Defined results: null and empty texts are in no leak; an item with fewer than
 ``MIN_WORDS`` words is not looked for; repeated rows each have their own
 leaks; ties don't matter, since every candidate is checked; empty tables give an
-empty result.  The benchmark is broadcast up to ``ITEMS`` items, and beyond that
-processed in as many rounds as needed.
+empty result.  The benchmark is broadcast up to ``ITEMS`` windows of items, and beyond
+that processed in as many rounds as needed.
 """
 
 from __future__ import annotations
@@ -128,10 +129,11 @@ def latent(docs: DataFrame, text: str = "text", rank: int = RANK) -> np.ndarray:
 
 
 class Items:
-    """The benchmark's items: word hashes, answers and unit latent vectors."""
+    """The benchmark's items: word hashes, answers, and the unit latent vectors of their windows."""
 
     def __init__(self, ids: list, texts: list[str | None], projection: np.ndarray, min_words: int):
         self.ids, self.words, self.answers, vectors = [], [], [], []
+        owner, offset = [], []  # of each vector: its item, and the words of the item before its window
         for item, text in zip(ids, texts):
             raw = np.frombuffer((text or "").lower().encode(), np.uint8)
             offs = np.array([0, len(raw)])
@@ -143,9 +145,16 @@ class Items:
             stops = np.flatnonzero(np.isin(raw, [33, 46, 63, 10]))
             after = [len(h) - int(np.searchsorted(start, s)) for s in stops]
             tail = next((k for k in reversed(after) if 3 <= k <= len(h) // 2), max(3, len(h) // 4))
-            v = projection[feature(h)].sum(axis=0)
+            last = max(0, len(h) - 2 * STEP)
+            spans = [(at, 2 * STEP) for at in [*range(0, last, STEP), last]] + [(last // 2, len(h))] * (last > 0)  # the whole of a long one too
+            for at, n in spans:
+                v = projection[feature(h[at : at + n] if n < len(h) else h)].sum(axis=0)
+                vectors.append(v / max(np.linalg.norm(v), 1e-9))
+                owner.append(len(self.ids)), offset.append(at)
             self.ids.append(item), self.words.append(h), self.answers.append(h[-tail:])
-            vectors.append(v / max(np.linalg.norm(v), 1e-9))
+        self.owner, self.offset = np.array(owner, np.int64), np.array(offset, np.int64)
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.margins = np.maximum(STEP, self.lengths // 2)
         self.vectors = np.array(vectors, np.float32).reshape(-1, projection.shape[1])
         self.masks = [_masks(w) for w in self.words]
         self.answer_masks = [_masks(w) for w in self.answers]
@@ -204,20 +213,25 @@ def _leaks(column: pa.Array, items: Items, projection: np.ndarray, cosine: float
         known = np.minimum(np.searchsorted(items.known, h), len(items.known) - 1)
         known[items.known[known] != h] = -1
         ends = at[1:][part]
-        for a in range(0, n, 8192):
-            w, i = np.nonzero(joined[a : a + 8192] @ items.vectors.T >= cosine)
+        slice_ = max(1, min(8192, (1 << 26) // len(items.vectors)))
+        for a in range(0, n, slice_):
+            w, v = np.nonzero(joined[a : a + slice_] @ items.vectors.T >= cosine)
             w += a
+            i = items.owner[v]
+            # where the item would begin, and room for it and its margins
+            start = begin[w] - items.offset[v]
+            lo = np.clip(start - items.margins[i], at[:-1][part[w]], ends[w])
+            hi = np.clip(start + np.maximum(items.lengths[i], 2 * STEP) + items.margins[i], lo, ends[w])
             # words of the item that the passage has bound its longest common subsequence from above
-            lo, hi = np.maximum(begin[w] - STEP, at[:-1][part[w]]), np.minimum(begin[w] + 3 * STEP, ends[w])
             if items.counts is not None and len(w):
+                longest = np.argsort(lo - hi, kind="stable")
+                w, i, lo, hi = w[longest], i[longest], lo[longest], hi[longest]
                 bound = np.zeros(len(w), np.int64)
-                for step in range(4 * STEP):
-                    at_word = lo + step
-                    ok = at_word < hi
-                    k = known[np.minimum(at_word, len(h) - 1)]
-                    bound += ok & (k >= 0) & (items.counts[i, np.maximum(k, 0)] > 0)
-                need = np.ceil(paraphrase * np.array([len(x) for x in items.words]))
-                use = bound >= need[i]
+                open_ = np.searchsorted(lo - hi, -np.arange(int(hi[0] - lo[0])), "left")
+                for step, m in enumerate(open_):
+                    k = known[lo[:m] + step]
+                    bound[:m] += (k >= 0) & (items.counts[i[:m], np.maximum(k, 0)] > 0)
+                use = bound >= np.ceil(paraphrase * items.lengths)[i]
                 w, i, lo, hi = w[use], i[use], lo[use], hi[use]
             for j, a_, b_, p in zip(i.tolist(), lo.tolist(), hi.tolist(), part[w].tolist()):
                 words = h[a_:b_].tolist()
@@ -255,9 +269,11 @@ def _arrow(kind: str) -> pa.DataType:
 
 
 def _rounds(docs, benchmark, text, item_id, item_text, rank, min_words):
-    """Broadcast (items, projection) pairs: one for a benchmark of up to ITEMS items, more beyond that."""
+    """Broadcast (items, projection) pairs: one for a benchmark of up to ITEMS windows, more beyond that."""
     context = docs.sparkSession.sparkContext
-    total = benchmark.count()
+    # windows of items, about; an item has at least one
+    words = F.size(F.split(F.coalesce(F.col(item_text), F.lit("")), r"[^\p{L}\p{N}]+"))
+    total = benchmark.agg(F.sum(F.greatest(F.lit(1), F.ceil(words / STEP)))).first()[0]
     if not total:
         return
     matrix = latent(docs, text, rank)

@@ -252,6 +252,19 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {d for d, _ in found}
 
 
+def test_long_items_are_found_whole_and_paraphrased(spark):
+    items = [prose(700 + n, n - 8) + ". " + prose(800 + n, 8) + "." for n in (60, 125, 180, 400, 1500)]
+    rows = [(i, prose(i, 400), "en", "s") for i in range(60)]
+    for k, item in enumerate(items):
+        rows.append((1000 + k, prose(90 + k, 130) + " " + item + " " + prose(190 + k, 70), "en", "s"))
+        rows.append((2000 + k, prose(290 + k, 50) + " " + edited(item, k, 0.1) + " " + prose(390 + k, 99), "en", "s"))
+        half = item.split()[: len(item.split()) // 3]
+        rows.append((3000 + k, prose(490 + k, 50) + " " + " ".join(half) + " " + prose(590 + k, 2000), "en", "s"))
+    found = {(r["doc_id"], r["item_id"]): r["overlap"] for r in lsr.find_leaks(table(spark, rows), benchmark(spark, items)).collect()}
+    assert set(found) == {(1000 + k, k) for k in range(5)} | {(2000 + k, k) for k in range(5)}
+    assert all(found[1000 + k, k] == 1.0 for k in range(5))
+
+
 def test_bit_parallel_lcs_equals_dynamic_programming():
     rng = random.Random(2)
     for _ in range(50):
