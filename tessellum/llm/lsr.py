@@ -13,7 +13,8 @@ candidate is then checked on the words themselves: the longest common
 subsequence of the whole item and the place where the item would lie, with half
 the item's length, at least a step, of context either side, and the same for the
 item's answer, its last sentence.  Verbatim passages and paraphrases that keep
-most words in order both pass; shared vocabulary alone doesn't.
+most words in order both pass; shared vocabulary alone doesn't.  A text that is
+read in parts is searched across their seams.
 
 Defined results: null and empty texts are in no leak; an item with fewer than
 ``MIN_WORDS`` words is not looked for; repeated rows each have their own
@@ -192,8 +193,19 @@ def _leaks(column: pa.Array, items: Items, projection: np.ndarray, cosine: float
     if not items.ids:
         return best
     matrix = np.vstack([projection, np.zeros((1, projection.shape[1]), np.float32)])
+    # a long text comes in parts: as many words as an item and its margins may take go along into the next one
+    reach = max(4 * STEP, int((items.lengths + 2 * items.margins).max()) + 2 * STEP)
+    reach += -reach % STEP
+    row, held = -1, np.zeros(0, U64)  # the row of the part before and its last words
     for buf, offs, rows in blocks(column):
         h, at = word_hashes(buf, offs)
+        if len(rows) == 1:
+            if rows[0] != row:
+                row, held = rows[0], held[:0]
+            h = np.concatenate([held, h])
+            at = np.array([0, len(h)])
+            first = max(0, (len(h) - reach) // STEP * STEP)  # passages begin where they would in the whole text
+            held = h[first:]
         if not len(h):
             continue
         words_of, _, base = _pieces(feature(h), at)

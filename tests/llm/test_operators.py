@@ -265,6 +265,18 @@ def test_long_items_are_found_whole_and_paraphrased(spark):
     assert all(found[1000 + k, k] == 1.0 for k in range(5))
 
 
+def test_leaks_across_the_seams_of_a_long_text(spark):
+    items = [prose(7100, 40), prose(7101, 300)]
+    rows = [(i, prose(i, 300), "en", "s") for i in range(60)]
+    for k, item in enumerate(items):
+        for seam in (1, 2):
+            # parts end at the last separator before a mebibyte: half of the item on either side of it
+            before = prose(7200 + k, 400_000)[: (seam << 20) - len(item) // 2].rsplit(" ", 1)[0]
+            rows.append((1000 + 10 * k + seam, before + " " + item + " " + prose(7300 + k, 1000), "en", "s"))
+    found = {(r["doc_id"], r["item_id"]): r["overlap"] for r in lsr.find_leaks(table(spark, rows), benchmark(spark, items)).collect()}
+    assert found == {(1001, 0): 1.0, (1002, 0): 1.0, (1011, 1): 1.0, (1012, 1): 1.0}
+
+
 def test_bit_parallel_lcs_equals_dynamic_programming():
     rng = random.Random(2)
     for _ in range(50):
