@@ -3,11 +3,12 @@
 A document's features are its word bigrams, the first word paired with the
 start.  ``tables`` tables each sample ``bits`` coordinates of the signature;
 signatures that agree on a table's coordinates share a bucket and are compared.
-A bucket above ``cap`` is regrouped by further random coordinates, several times
-over so that a close pair meets again in one of them; a bucket that more
-coordinates can't bring under the cap is compared whole, in slices, so no pair
-is dropped because its bucket is large.  Equal signatures are one node from the
-start.  Pairs within ``max_distance`` are edges; a bucket sends out a spanning
+A bucket is always compared whole, so no pair is dropped because its bucket is
+large; one above ``share`` signatures is divided by hash, and each pair of its
+divisions is a task's work of its own, so no task grows with the bucket (the
+comparisons, with the square of its size, do).  A pair at distance 26 shares one
+of the 40 tables' buckets with probability 0.90, one at 24 with 0.95.  Equal
+signatures are one node from the start.  Pairs within ``max_distance`` are edges; a bucket sends out a spanning
 forest of them, never all pairs, and connected components are the groups.
 
 Defined results: a null text, or one without a word, belongs to no group and is
@@ -26,15 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import connected, cut, lean, tasks, written
+from .shared import connected, cut, find, lean, tasks, written
 from .textvec import U64, binary_column, binary_rows, blocks, mix, segment_sums, word_hashes
 
 BITS = 128
 MAX_DISTANCE = 26
-TABLES = 36
+TABLES = 40
 SAMPLED = 12
 CAP = 4096
-AGAIN = 6
+#: A bucket above this many signatures is divided; into 4096 divisions at most.
+SHARE = 1 << 15
 #: Keys of dropped rows up to this many (about 10 MB) are broadcast.
 BROADCAST_ROWS = 200_000
 _LANES = U64(0x0101010101010101)
@@ -119,12 +121,16 @@ def _near(sig: np.ndarray, i: np.ndarray, j: np.ndarray, limit: int) -> np.ndarr
     return np.bitwise_count(sig[i, 0] ^ sig[j, 0]).astype(np.int16) + np.bitwise_count(sig[i, 1] ^ sig[j, 1]) <= limit
 
 
-def bucket_roots(key: np.ndarray, sig: np.ndarray, limit: int, cap: int = CAP, again: int = AGAIN, seed: int = 11) -> np.ndarray:
-    """For rows sorted by key: the least row that each is linked to by near pairs within buckets."""
+def bucket_roots(key: np.ndarray, sig: np.ndarray, limit: int, cap: int = CAP, side: np.ndarray | None = None) -> np.ndarray:
+    """For rows sorted by key: the least row that each is linked to by near pairs within buckets.
+
+    side: in a bucket whose rows have both sides, only pairs across are compared.
+    """
     root = np.arange(len(key))
     edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(edge, len(key)))
-    big = sizes > cap
+    mixed = np.zeros(len(edge), bool) if side is None or not len(edge) else np.logical_or.reduceat(side, edge)
+    big = (sizes > cap) | mixed
     small_rows = np.repeat(~big, sizes)
     left = np.flatnonzero(small_rows)
     last = np.repeat(edge + sizes, sizes)
@@ -132,35 +138,56 @@ def bucket_roots(key: np.ndarray, sig: np.ndarray, limit: int, cap: int = CAP, a
         left = left[left + step < last[left]]
         ok = _near(sig, left, left + step, limit)
         _link(root, left[ok], left[ok] + step)
-    for at, size in zip(edge[big], sizes[big]):
-        _crowded(root, np.arange(at, at + size), sig, limit, cap, again, seed)
+    for at, size, across in zip(edge[big], sizes[big], mixed[big]):
+        rows = np.arange(at, at + size)
+        if across:
+            _crowded(root, rows[~side[rows]], rows[side[rows]], sig, limit)
+        else:
+            _crowded(root, rows, rows, sig, limit)
     return root
 
 
-def _crowded(root: np.ndarray, rows: np.ndarray, sig: np.ndarray, limit: int, cap: int, again: int, seed: int) -> None:
-    """Link the near pairs of an oversized bucket: more coordinates, ``again`` samples of them."""
-    rng = np.random.default_rng(seed)
-    more = max(1, int(np.ceil(np.log2(len(rows) / cap))) + 1)
-    for _ in range(again):
-        key = gather(sig[rows], rng.choice(BITS, more, replace=False))
-        order = np.argsort(key, kind="stable")
-        member, key = rows[order], key[order]
-        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        for at, end in zip(edge, np.append(edge[1:], len(key))):
-            group = member[at:end]
-            step = max(1, 4_000_000 // len(group))
-            for a in range(0, len(group), step):  # slices bound the memory; every pair is compared
-                one = group[a : a + step]
-                far = np.bitwise_count(sig[one, 0][:, None] ^ sig[group, 0][None, :]).astype(np.int16)
-                far += np.bitwise_count(sig[one, 1][:, None] ^ sig[group, 1][None, :])
-                i, j = np.nonzero(far <= limit)
-                use = one[i] < group[j]
-                _link(root, one[i][use], group[j][use])
-
-
-def near_edges(sigs: DataFrame, max_distance: int = MAX_DISTANCE, tables: int = TABLES, bits: int = SAMPLED, cap: int = CAP) -> DataFrame:
+def _crowded(root: np.ndarray, left: np.ndarray, right: np.ndarray, sig: np.ndarray, limit: int) -> None:
+    """Link the near pairs of left and right, all of them compared; slices bound the memory."""
+    same = left is right
+    step = max(1, 1_000_000 // max(1, len(right)))
+    for a in range(0, len(left), step):
+        one, other = left[a : a + step], right[a:] if same else right
+        far = np.bitwise_count(sig[one, 0][:, None] ^ sig[other, 0][None, :])
+        far += np.bitwise_count(sig[one, 1][:, None] ^ sig[other, 1][None, :])
+        i, j = np.nonzero(far <= limit)
+        _link(root, one[i], other[j])
+
+
+def _division(sig: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which of its bucket's n divisions each signature is in."""
+    with np.errstate(over="ignore"):
+        return (mix(sig[:, 0] ^ mix(sig[:, 1])) % n.astype(U64)).astype(np.int64)
+
+
+def _divisions(sigs: DataFrame, plan: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the buckets above share, and into how many divisions each goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = binary_rows(batch.column(0), U64, 2)
+            for t, positions in enumerate(plan):
+                key, n = np.unique((np.int64(t) << 32) | gather(sig, positions), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+
+    if sigs.limit(share + 1).count() <= share:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = sigs.select("sig").mapInArrow(lean(run), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > share).toArrow()
+    key, n = found.column(0).to_numpy(), found.column(1).to_numpy()
+    order = np.argsort(key)
+    return key[order], np.minimum(-(-n[order] // share), 1 << 12)
+
+
+def near_edges(sigs: DataFrame, max_distance: int = MAX_DISTANCE, tables: int = TABLES, bits: int = SAMPLED, cap: int = CAP, share: int = SHARE) -> DataFrame:
     """Edges (a, b) of a spanning forest of the near pairs found; sigs has distinct ``sig``."""
     plan = plan_tables(tables, bits)
+    crowds, parts = _divisions(sigs, plan, share)
+    meet = 38  # a key: bits of the bucket, of the table from 32, of two divisions (12 each) from 38
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,13 +196,31 @@ def near_edges(sigs: DataFrame, max_distance: int = MAX_DISTANCE, tables: int =
             sig = binary_rows(batch.column(0), U64, 2)
             packed = binary_column(sig, 16)
             for t, positions in enumerate(plan):
-                yield pa.RecordBatch.from_arrays([pa.array((np.int64(t) << 32) | gather(sig, positions)), packed], names=["key", "sig"])
+                key = (np.int64(t) << 32) | gather(sig, positions)
+                if not len(crowds):
+                    yield pa.RecordBatch.from_arrays([pa.array(key), packed], names=["key", "sig"])
+                    continue
+                hit, at = find(crowds, key)
+                yield pa.RecordBatch.from_arrays([pa.array(key[~hit]), binary_column(sig[~hit], 16)], names=["key", "sig"])
+                # a row of a large bucket meets each division of it once, its own too
+                some, n = sig[hit], parts[at[hit]]
+                mine = _division(some, n)
+                for other in range(int(n.max(initial=0))):
+                    use = n > other
+                    low, high = np.minimum(mine[use], other), np.maximum(mine[use], other)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[hit][use] | (low << meet) | (high << meet + 12)), binary_column(some[use], 16)], names=["key", "sig"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush(key: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
-            root = bucket_roots(key, sig, max_distance, cap)
+            side = None
+            if len(crowds):
+                low, high = key >> meet & 4095, key >> meet + 12
+                side = low < high
+                _, at = find(crowds, key[side] & (1 << meet) - 1)
+                side[side] = _division(sig[side], parts[at]) == high[side]
+            root = bucket_roots(key, sig, max_distance, cap, side)
             moved = np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([binary_column(sig[moved], 16), binary_column(sig[root[moved]], 16)], names=["a", "b"])
 

@@ -219,6 +219,37 @@ def test_oversized_buckets_lose_no_equal_pairs():
     assert len(set(root.tolist())) >= 40
 
 
+def test_large_buckets_are_compared_whole(spark):
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 1 << 63, (3000, 2), dtype=np.uint64)
+    pairs = sig[:600].copy()
+    for row in pairs:
+        for bit in rng.choice(128, 26, replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    both = np.concatenate([sig, pairs])
+    root = bitsample.bucket_roots(np.zeros(len(both), np.int64), both, 26, cap=64)
+    assert (root[3000:] == root[:600]).all()
+    # and in divisions, as by a bucket that is too large for one task: the same edges' components
+    sigs = spark.createDataFrame([(bytearray(s.tobytes()),) for s in both], "sig binary").repartition(3)
+    joined = lambda share: {(bytes(r["node"]), bytes(r["root"])) for r in shared.connected(bitsample.near_edges(sigs, tables=2, bits=1, share=share)).collect()}
+    whole, divided = joined(1 << 15), joined(300)
+    assert whole == divided and len(whole) >= 800
+    meet = sum(any((a[p // 64] ^ b[p // 64]) >> np.uint64(p % 64) & np.uint64(1) == 0 for p in bitsample.plan_tables(2, 1)[:, 0].tolist()) for a, b in zip(sig[:600], pairs))
+    node = dict(divided)
+    assert sum(node.get(a.tobytes(), 0) == node.get(b.tobytes(), 1) for a, b in zip(sig[:600], pairs)) == meet
+
+
+def test_tables_find_nine_in_ten_at_the_greatest_distance():
+    rng = np.random.default_rng(6)
+    flips = np.stack([rng.permutation(128)[: bitsample.MAX_DISTANCE] for _ in range(20_000)])
+    differ = np.zeros((20_000, 128), bool)
+    np.put_along_axis(differ, flips, True, axis=1)
+    met = np.zeros(20_000, bool)
+    for positions in bitsample.plan_tables(bitsample.TABLES, bitsample.SAMPLED):
+        met |= ~differ[:, positions].any(axis=1)
+    assert met.mean() >= 0.9
+
+
 def test_simhash_awkward(spark, odd):
     kept = bitsample.deduplicate(odd).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["1", "2", "3", "4", "5", "6", "None"]
