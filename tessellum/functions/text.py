@@ -12,6 +12,8 @@ QUERY_STOP = "about and are does for from has have how implemented into that the
 STATS_STOP = "about all and are but const export false for from function import into let not null return that the their there they this true var what when which will with would you".split()
 SUMMARY_STOP = "about and are for from has have into its not that the this was were will with you your".split()
 EVAL_STOP = "a an and are as at be by do does for from has have how in is it its of on or that the this to was what when where which who why will with".split()
+#: A token of the word index.
+TOKEN = r"[\p{L}\p{N}_$]+"
 _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
@@ -43,7 +45,7 @@ def fold(text: Column) -> Column:
 
 def index_tokens(text: Column) -> Column:
     """The word index's tokens: runs of letters, digits, _ and $, folded."""
-    return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}_$]+"), F.lit(0))
+    return F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0))
 
 
 def keyword_terms(text: Column, most: int = 8) -> Column:

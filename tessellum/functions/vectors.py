@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMS = 384
@@ -26,67 +27,90 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
+def hash_embeddings(texts: list[str], dims: int = DIMS) -> np.ndarray:
+    """(texts, dims): signed character trigrams hashed into ``dims`` buckets, of unit length (zero stays zero)."""
+    codes = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    sizes = np.array([len(c) for c in codes], np.int64)
+    flat = np.concatenate(codes).astype(np.int64) if codes else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    whole = np.flatnonzero(row[2:] == row[:-2]) if len(row) > 2 else np.zeros(0, np.int64)
+    h = np.full(len(whole), 2166136261, np.int64)
+    for j in range(3):
+        h = ((h ^ flat[whole + j]) * 16777619) & 0xFFFFFFFF
+    v = np.bincount(row[whole] * dims + h % dims, np.where(h >> 31 & 1, -1.0, 1.0), len(texts) * dims).reshape(len(texts), dims)
+    size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return (v / np.where(size > 0, size, 1.0)).astype(np.float32)
+
+
 def hash_embedding(text: str, dims: int = DIMS) -> np.ndarray:
-    """Signed character trigrams hashed into ``dims`` buckets, of unit length (zero stays zero)."""
-    v = np.zeros(dims, np.float64)
-    s = text.lower()
-    codes = np.array([ord(c) for c in s], np.int64)
-    if len(codes) >= 3:
-        h = np.full(len(codes) - 2, 2166136261, np.int64)
-        for j in range(3):
-            h = ((h ^ codes[j : j + len(h)]) * 16777619) & 0xFFFFFFFF
-        np.add.at(v, h % dims, np.where(h >> 31 & 1, -1.0, 1.0))
-    size = np.linalg.norm(v)
-    return (v / size if size else v).astype(np.float32)
+    return hash_embeddings([text], dims)[0]
 
 
 def embed(df: DataFrame, text: str, dims: int = DIMS, output: str = "embedding") -> DataFrame:
-    """df with an ARRAY<FLOAT> column; Arrow batches, no row-wise Python."""
+    """df with an ARRAY<FLOAT> column: one numpy pass over each Arrow batch; a null text is an empty one."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.fillna("").map(lambda t: hash_embedding(t, dims))
+            yield pd.Series(list(hash_embeddings(texts.fillna("").tolist(), dims)))
 
     return df.withColumn(output, run(F.col(text)))
 
 
-def top_similar(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", query_id: str = "query_id", batch_queries: int = 20_000) -> DataFrame:
+#: Bytes of query vectors that are broadcast at once, and of the similarities that a worker holds at once.
+QUERY_BYTES, SIMILARITY_BYTES = 128 << 20, 64 << 20
+
+
+def top_similar(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", query_id: str = "query_id") -> DataFrame:
     """(query_id, vec_id, similarity, rank): exact cosine top k of every query, ties by id.
 
-    Queries are sent to the vectors in rounds of ``batch_queries`` at most, so
-    what is broadcast is bounded; each Arrow batch of vectors keeps its own top k
-    per query before the shuffle.
+    Queries are sent to the vectors in rounds of QUERY_BYTES, so what is broadcast
+    is bounded; each Arrow batch of vectors keeps its own top k per query before
+    the shuffle, computed in slices of SIMILARITY_BYTES.  A null vector is neither
+    found nor asked; vectors of another length than the queries' are an error.
     """
-    got = queries.select(F.col(query_id).alias("q"), F.col(embedding).alias("e")).toArrow() if queries.count() <= batch_queries else None
-    if got is None:
-        rounds = -(-queries.count() // batch_queries)
-        parts = [queries.where(F.pmod(F.xxhash64(query_id), F.lit(rounds)) == i) for i in range(rounds)]
-        out = None
-        for part in parts:
-            one = top_similar(vectors, part, k, vec_id, embedding, query_id, 2 * batch_queries)
-            out = one if out is None else out.unionByName(one)
-        return out
-    ids = got.column(0).to_numpy()
-    matrix = _unit(_matrix(got.column(1).combine_chunks()))
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+    asked = queries.select(F.col(query_id).alias("q"), F.col(embedding).alias("e")).where("e IS NOT NULL AND size(e) > 0")
+    n, width = asked.agg(F.count("*"), F.max(F.size("e"))).first()
+    kinds = dict(asked.dtypes)["q"], dict(vectors.dtypes)[vec_id]
+    rounds = max(1, -(-n * (width or 0) * 8 // QUERY_BYTES))
+    found = None
+    for i in range(rounds):
+        part = asked if rounds == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(rounds)) == i)
+        one = _similar(vectors.select(F.col(vec_id).alias("v"), F.col(embedding).alias("e")).where("e IS NOT NULL AND size(e) > 0"), part, k, kinds)
+        found = one if found is None else found.unionByName(one)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _similar(vectors: DataFrame, asked: DataFrame, k: int, kinds: tuple[str, str]) -> DataFrame:
+    got = asked.toArrow()
+    shared = vectors.sparkSession.sparkContext.broadcast((got.column(0).combine_chunks(), _unit(_matrix(got.column(1).combine_chunks()))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qs, m = shared.value
         for batch in batches:
             if not batch.num_rows or not len(qs):
                 continue
-            own = _unit(_matrix(batch.column(1)))
-            vid = batch.column(0).to_numpy()
-            sim = m @ own.T
-            order = np.lexsort((np.broadcast_to(vid, sim.shape), -np.round(sim, 12)), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, order.shape[1])), pa.array(vid[order].ravel()), pa.array(np.take_along_axis(sim, order, 1).ravel())], names=["query_id", "vec_id", "similarity"])
-
-    from pyspark.sql import Window
-
-    found = vectors.select(F.col(vec_id).alias("v"), F.col(embedding).alias("e")).where("e IS NOT NULL").mapInArrow(run, "query_id bigint, vec_id bigint, similarity double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+            own, ids = _unit(_matrix(batch.column(1))), batch.column(0)
+            # ties by id: columns in the order of their ids, and a stable choice
+            ids = ids.take(order := pc.sort_indices(ids))
+            own = own[order.to_numpy()]
+            step = max(1, SIMILARITY_BYTES // (8 * len(own)))
+            for a in range(0, len(qs), step):
+                sim = m[a : a + step] @ own.T
+                rounded = np.round(sim, 9)
+                if k < len(own):  # all that reach the k-th value, then the first k of them in order
+                    least = np.partition(rounded, len(own) - k, axis=1)[:, len(own) - k]
+                    row, col = np.nonzero(rounded >= least[:, None])
+                else:
+                    row, col = (x.ravel() for x in np.indices(sim.shape))
+                best = np.lexsort((col, -rounded[row, col], row))
+                row, col = row[best], col[best]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col = row[place < k], col[place < k]
+                yield pa.RecordBatch.from_arrays([qs.take(pa.array(a + row)), ids.take(pa.array(col)), pa.array(sim[row, col])], names=["query_id", "vec_id", "similarity"])
+
+    return vectors.mapInArrow(run, f"query_id {kinds[0]}, vec_id {kinds[1]}, similarity double")
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:

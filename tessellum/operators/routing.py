@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .materialise import cut
-from .search import B, K1, RRF_K, _maybe_broadcast, hybrid, rrf
+from .search import B, K1, RRF_K, Index, _maybe_broadcast, hybrid, rrf
 
 MIN_DENSITY = 1.0
 
@@ -139,19 +139,17 @@ def waves(routed: DataFrame, shard_hits: DataFrame, probe_wave: int = 4, strict:
     return flagged.withColumn("stop", stop).where(F.col("stop").isNull() | (F.col("wave") <= F.col("stop"))).drop("stop", "hit")
 
 
-def federated(atoms: DataFrame, shards: DataFrame, queries: DataFrame, limit: int = 20, max_shards: int = 32, per_shard: int = 10, probe_wave: int = 4, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+def federated(atoms: DataFrame | Index, shards: DataFrame, queries: DataFrame, limit: int = 20, max_shards: int = 32, per_shard: int = 10, probe_wave: int = 4, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(hits, diagnostics) of a batch of queries over many shards, fused by rank.
 
-    Each shard ranks with its own statistics; the routed pairs prune what is kept
-    before fusion.  Stragglers don't exist in a batch, so that list is empty.
+    Each shard ranks with its own statistics; only routed pairs of query and shard
+    are scored.  Stragglers don't exist in a batch, so that list is empty.
     """
     routed = cut(route(shards, queries, max_shards))
     stripped = routed.select("query_id", "query").distinct()
-    asked = atoms.join(_maybe_broadcast(routed.select("shard_key").distinct()), "shard_key", "left_semi")
-    every = hybrid(asked, stripped, per_shard, per=("shard_key",))
-    found = cut(every.join(_maybe_broadcast(routed.select("query_id", "shard_key")), ["query_id", "shard_key"], "left_semi"))
+    found = cut(hybrid(Index.of(atoms, ("shard_key",)), stripped, per_shard, per=("shard_key",), only=routed.select("query_id", "shard_key")))
     probed = waves(routed, found, probe_wave, strict)
-    kept = found.join(probed.select("query_id", "shard_key"), ["query_id", "shard_key"], "left_semi")
+    kept = found.join(_maybe_broadcast(probed.select("query_id", "shard_key")), ["query_id", "shard_key"], "left_semi")
     keyed = kept.select("query_id", "shard_key", "id", F.concat_ws(":", "shard_key", F.col("id").cast("string")).alias("key"), F.col("fused_rank").alias("rank"))
     fused = rrf(keyed, ["query_id"], "key", lane="shard_key").where(F.col("fused_rank") <= limit)
     hits = fused.join(keyed.select("query_id", "key", "shard_key", "id", F.col("rank").alias("shard_rank")), ["query_id", "key"])

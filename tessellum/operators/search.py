@@ -1,62 +1,130 @@
 """Lanes, fusion and hybrid search over atoms.
 
-Atoms have id, shard_key, graph, cluster, title and body; queries have query_id
-and query.  Statistics of a lane come from the whole index, before any filter,
-so a filter never changes a surviving row's score.  A batch of queries is one
-plan: its terms are joined to the atoms in one scan per lane.
+Atoms have id, title and body, and shard_key, graph or cluster where those are
+asked for; queries have query_id and query.  Statistics of a lane come from the
+whole index, before any filter, so a filter never changes a surviving row's
+score.  A batch of queries is one plan.
+
+Both lanes look terms up in one index.  A term has no white space, so each of its
+occurrences lies within a run, a stretch of text between white space.  The index
+holds a posting for each run of each atom.  A batch's terms are matched with the
+distinct runs, a vocabulary, by equal trigrams or equal word beginnings, and the
+runs found join the postings: equi-joins all the way, none of which meets every
+term with every atom.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import top_similar
+from .materialise import cut, written
 
 K1, B = 1.2, 0.75
 TITLE_WEIGHT, BODY_WEIGHT = 2.0, 1.0
 RRF_K = 60
-#: Query terms up to this many are broadcast to the atoms; more are left to the planner.
+#: Query terms up to this many are broadcast; more are left to the planner.
 BROADCAST_TERMS = 20_000
+#: Rows of terms, runs and their pairs up to this many, and this many bytes, are broadcast to the postings.
+BROADCAST_RUNS, BROADCAST_BYTES = 1_000_000, 64 << 20
+PREFIX = 4
+SUBSTRING, WORD = "trigram", "word"
 
 
 def _maybe_broadcast(df: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def _small(table: DataFrame, limit: int = BROADCAST_RUNS, size: int = BROADCAST_BYTES) -> Callable[[DataFrame], DataFrame]:
+    """Marks what is hardly larger than ``table``, which is measured once, for a broadcast; nothing if that is too large."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in table.dtypes if kind == "string"]
+    rows, held = table.limit(limit + 1).agg(F.count("*"), F.sum(sum(texts, F.lit(24)))).first()
+    return F.broadcast if rows <= limit and (held or 0) <= size else lambda df: df
+
+
 def idf(n: Column, total: Column) -> Column:
     value = F.log((total - n + 0.5) / (n + 0.5))
     return F.when(value > 0, value).otherwise(1e-6)
 
 
-def _score(hits: DataFrame, terms: DataFrame, sized: DataFrame, per: list[str]) -> DataFrame:
-    """(query_id, *per, id, score) of atoms that match every term of a query; hits has per, term, id, tf, len.
+class Index:
+    """Postings (run, id, in_title, first, chars, words) of atoms, and the distinct runs.
 
-    Statistics are those of the whole index, or of each value of ``per``.
+    ``chars`` and ``words`` are an atom's lengths in the two lanes, ``first`` marks
+    one posting of each atom; an atom without a run has a posting of a null run.
+    Columns in ``carry`` go along, so that each of their values can be an index of
+    its own.
     """
-    stats = sized.groupBy(*per).agg(F.count("*").alias("total"), F.avg("len").alias("avg_len"))
-    found = hits.groupBy(*per, "term").agg(F.count("*").alias("n"))
-    needed = terms.groupBy("query_id").agg(F.count("*").alias("needed"))
-    counted = hits.join(found, [*per, "term"])
-    weighed = counted.join(stats, per) if per else counted.join(F.broadcast(stats))
-    part = idf(F.col("n"), F.col("total")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = weighed.withColumn("part", part).join(_maybe_broadcast(terms), "term").groupBy("query_id", *per, "id").agg(F.sum(F.col("part") * F.col("times")).alias("s"), F.count("*").alias("matched"))
-    return scored.join(_maybe_broadcast(needed), "query_id").where("matched = needed").select("query_id", *per, "id", (-F.col("s")).alias("score"))
-
 
-def _terms(queries: DataFrame, terms: Column) -> DataFrame:
-    return queries.select("query_id", F.explode(terms).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-
-
-def substring_lane(atoms: DataFrame, queries: DataFrame, title_weight: float = TITLE_WEIGHT, body_weight: float = BODY_WEIGHT, per: tuple[str, ...] = ()) -> DataFrame:
-    """BM25 of case-insensitive substrings over title and body; terms under three characters are ignored."""
-    terms = _terms(queries, T.substring_terms(F.col("query")))
-    lengths = F.greatest(F.length("title") - 2, F.lit(0)) + F.greatest(F.length("body") - 2, F.lit(0))
-    sized = atoms.select(*per, "id", F.lower("title").alias("title"), F.lower("body").alias("body"), lengths.alias("len"))
-    pairs = sized.join(_maybe_broadcast(terms.select("term").distinct()), F.col("title").contains(F.col("term")) | F.col("body").contains(F.col("term")))
-    tf = title_weight * T.count_overlapping(F.col("title"), F.col("term")) + body_weight * T.count_overlapping(F.col("body"), F.col("term"))
-    return _score(pairs.select(*per, "term", "id", tf.alias("tf"), "len"), terms, sized, list(per))
+    def __init__(self, atoms: DataFrame, carry: tuple[str, ...] = (), postings: DataFrame | None = None, runs: DataFrame | None = None):
+        self.atoms, self.carry = atoms, carry
+        self.postings = self._postings() if postings is None else postings
+        self.runs = self.postings.select("run").where("run IS NOT NULL").distinct() if runs is None else runs
+        self.sizes = self.postings.where("first").select(*carry, "id", "chars", "words")
+
+    @classmethod
+    def of(cls, atoms: DataFrame | Index, carry: tuple[str, ...] = ()) -> Index:
+        return atoms if isinstance(atoms, Index) else cls(atoms, carry)
+
+    def _postings(self) -> DataFrame:
+        title, body = (F.coalesce(c, F.lit("")) for c in ("title", "body"))
+        chars = F.greatest(F.length(title) - 2, F.lit(0)) + F.greatest(F.length(body) - 2, F.lit(0))
+        words = F.regexp_count(F.lower(F.concat(title, F.lit(" "), body)), F.lit(T.TOKEN))
+        runs = F.regexp_extract_all(F.lower(F.concat(title, F.lit(" "), body)), F.lit(r"\S+"), F.lit(0))
+        # measured before the explosion: what stands beside it in one select would be computed for each of its rows
+        measured = self.atoms.select(*self.carry, "id", chars.alias("chars"), words.alias("words"), F.regexp_count(title, F.lit(r"\S+")).alias("t"), runs.alias("runs"))
+        each = measured.select(*self.carry, "id", "chars", "words", "t", F.posexplode_outer("runs").alias("at", "run"))
+        return each.select("run", *self.carry, "id", (F.col("at") < F.col("t")).alias("in_title"), (F.coalesce("at", F.lit(0)) == 0).alias("first"), "chars", "words")
+
+    def stored(self) -> Index:
+        """The same with its tables written to the shared folder."""
+        postings = written(self.postings)
+        return Index(self.atoms, self.carry, postings, written(postings.select("run").where("run IS NOT NULL").distinct()))
+
+    def write(self, folder: str) -> Index:
+        """The same as tables under ``folder``, for ``read``; postings lie together by run, large runs spread over several files."""
+        spark = self.atoms.sparkSession
+        self.postings.hint("rebalance", F.col("run")).sortWithinPartitions("run", "id").write.mode("overwrite").parquet(f"{folder}/postings")
+        spark.read.parquet(f"{folder}/postings").select("run").where("run IS NOT NULL").distinct().write.mode("overwrite").parquet(f"{folder}/runs")
+        return Index.read(spark, folder, self.atoms, self.carry)
+
+    @classmethod
+    def read(cls, spark: SparkSession, folder: str, atoms: DataFrame, carry: tuple[str, ...] = ()) -> Index:
+        return cls(atoms, carry, *(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "runs")))
+
+
+def _grams(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3))))
+
+
+def _occurrences(text: Column, term: Column) -> Column:
+    """Overlapping ones too."""
+    return F.size(F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.length(term)) == term))
+
+
+def _substring_runs(runs: DataFrame, terms: DataFrame, few: Callable) -> DataFrame:
+    """(t, run, n): runs that hold the term n times, found by the term's rarest trigram."""
+    wanted = terms.select("t", "term", F.explode(_grams(F.col("term"))).alias("gram"))
+    grams = runs.where(F.length("run") >= 3).select("run", F.explode(_grams(F.col("run"))).alias("gram"))
+    frequency = grams.join(few(wanted.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    anchors = few(wanted).join(frequency, "gram").groupBy("t", "term").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    held = grams.join(few(anchors), "gram").where(F.col("run").contains(F.col("term")))
+    return held.select("t", "run", _occurrences(F.col("run"), F.col("term")).alias("n"))
+
+
+def _word_runs(runs: DataFrame, kinds: DataFrame, few: Callable) -> DataFrame:
+    """(t, run, n): runs with n tokens that equal the term's first one or, if it is alone and a prefix, begin with it."""
+    loose = F.col("prefix") & (F.size("phrase") == 1)
+    first = F.element_at("phrase", 1)
+    keys = kinds.select("t", first.alias("first"), loose.alias("loose"), F.when(loose, F.substring(first, 1, PREFIX)).otherwise(first).alias("key"))
+    tokens = runs.select("run", F.explode(T.index_tokens(F.col("run"))).alias("token"))
+    two = F.array(F.struct(F.lit(False).alias("loose"), F.col("token").alias("key")), F.struct(F.lit(True).alias("loose"), F.substring("token", 1, PREFIX).alias("key")))
+    met = tokens.select("run", "token", F.explode(two).alias("k")).select("run", "token", "k.loose", "k.key").join(few(keys), ["loose", "key"]).where(F.startswith("token", "first"))
+    return met.groupBy("t", "run").agg(F.count("*").cast("int").alias("n"))
 
 
 def _phrases(tokens: Column, phrase: Column, prefix: Column) -> Column:
@@ -72,20 +140,91 @@ def _phrases(tokens: Column, phrase: Column, prefix: Column) -> Column:
     return F.when(F.size(tokens) >= k, F.size(F.filter(starts, here))).otherwise(0)
 
 
-def word_lane(atoms: DataFrame, queries: DataFrame, title_weight: float = TITLE_WEIGHT, body_weight: float = BODY_WEIGHT, per: tuple[str, ...] = ()) -> DataFrame:
+def _terms(queries: DataFrame, lanes: tuple[str, ...]) -> DataFrame:
+    """(query_id, lane, term, times): how often each lane's terms are in each query."""
+    by = {SUBSTRING: T.substring_terms, WORD: T.word_terms}
+
+    def tagged(lane: str) -> Column:
+        return F.transform(by[lane](F.col("query")), lambda t: F.struct(F.lit(lane).alias("lane"), t.alias("term")))
+
+    each = F.concat(*[tagged(lane) for lane in lanes])
+    return queries.select("query_id", F.explode(each).alias("t")).groupBy("query_id", "t.lane", "t.term").agg(F.count("*").alias("times"))
+
+
+def _lanes(atoms: DataFrame | Index, queries: DataFrame, lanes: tuple[str, ...], title_weight: float, body_weight: float, per: tuple[str, ...], only: DataFrame | None = None) -> DataFrame:
+    """(query_id, lane, *per, id, score): atoms that match every term of a query in a lane.
+
+    ``only`` (query_id, *per) names the indexes in which a query is asked; the
+    statistics stay those of the whole of each.
+    """
+    index = Index.of(atoms, per)
+    terms = _terms(queries, lanes)
+    # numbers in place of terms: what is shuffled per hit has a fixed size
+    numbered = cut(terms.select("lane", "term").distinct().withColumn("t", F.monotonically_increasing_id()))
+    few = _small(numbered)
+    needed = terms.groupBy("query_id", "lane").agg(F.count("*").alias("needed"))
+    asked = cut(terms.join(numbered, ["lane", "term"]).join(needed, ["query_id", "lane"]).drop("term"))
+    met, phrases = [], None
+    if SUBSTRING in lanes:
+        met.append(_substring_runs(index.runs, numbered.where(F.col("lane") == SUBSTRING), few).withColumn("lane", F.lit(SUBSTRING)))
+    if WORD in lanes:
+        kinds = numbered.where(F.col("lane") == WORD).select("t", T.index_tokens(F.col("term")).alias("phrase"), (F.length("term") >= PREFIX).alias("prefix")).where(F.size("phrase") > 0)
+        phrases = kinds.where(F.size("phrase") > 1)
+        phrases = phrases if phrases.limit(1).count() else None
+        met.append(_word_runs(index.runs, kinds.where(F.size("phrase") == 1), few).withColumn("lane", F.lit(WORD)))
+    matched = cut(met[0] if len(met) == 1 else met[0].unionByName(met[1]))
+    length = F.when(F.col("lane") == SUBSTRING, F.col("chars")).otherwise(F.col("words"))
+    weight = F.when(F.col("in_title"), title_weight).otherwise(body_weight)
+    keys = ["t", *per]
+    found = index.postings.join(_small(matched)(matched), "run").select(*keys, "id", length.alias("len"), (weight * F.col("n")).alias("w"))
+    if only is not None:
+        asked = cut(asked.join(only.select("query_id", *per).distinct(), "query_id"))
+        found = found.join(_small(asked)(asked.select(*keys).distinct()), keys, "left_semi")
+    # every later step groups by id among others, so this is the one shuffle of the hits
+    hits = found.repartition("id").groupBy(*keys, "id", "len").agg(F.sum("w").alias("tf"))
+    if phrases is not None:
+        hits = hits.unionByName(_phrase_hits(index, phrases, title_weight, body_weight, per, few).select(*hits.columns))
+    often = hits.groupBy(*keys).agg(F.count("*").alias("n"))
+    # without per there are no more of these than terms, with it no more than terms asked in each index
+    weighed = hits.join(_small(asked)(often) if only is not None or not per else often, keys)
+    sums = index.sizes.groupBy(*per).agg(F.count("*").alias("total"), F.avg("chars").alias(SUBSTRING), F.avg("words").alias(WORD))
+    if per:
+        weighed = weighed.join(_maybe_broadcast(cut(sums)), list(per))
+    else:
+        weighed = weighed.withColumns({name: F.lit(value or 0.0) for name, value in sums.first().asDict().items()})
+    scored = weighed.join(_small(asked)(asked), keys if only is not None else "t")
+    mean = F.when(F.col("lane") == SUBSTRING, F.col(SUBSTRING)).otherwise(F.col(WORD))
+    part = idf(F.col("n"), F.col("total")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
+    summed = scored.groupBy("query_id", "lane", *per, "id", "needed").agg(F.sum(part * F.col("times")).alias("s"), F.count("*").alias("matched"))
+    return summed.where("matched = needed").select("query_id", "lane", *per, "id", (-F.col("s")).alias("score"))
+
+
+def _phrase_hits(index: Index, phrases: DataFrame, title_weight: float, body_weight: float, per: tuple[str, ...], few: Callable) -> DataFrame:
+    """Hits of terms of several tokens: atoms with a run that holds the first token, then the tokens in their order."""
+    first = cut(_word_runs(index.runs, phrases, few).select("t", "run"))
+    near = index.postings.join(_small(first)(first), "run").select("t", *per, "id", F.col("words").alias("len")).distinct()
+    texts = index.atoms.select("id", "title", "body")
+    both = near.join(texts, "id").join(few(phrases), "t").withColumns({"tt": T.index_tokens(F.coalesce("title", F.lit(""))), "bt": T.index_tokens(F.coalesce("body", F.lit("")))})
+    tf = title_weight * _phrases(F.col("tt"), F.col("phrase"), F.col("prefix")) + body_weight * _phrases(F.col("bt"), F.col("phrase"), F.col("prefix"))
+    return both.select("t", *per, "id", "len", tf.alias("tf")).where("tf > 0")
+
+
+def substring_lane(atoms: DataFrame | Index, queries: DataFrame, title_weight: float = TITLE_WEIGHT, body_weight: float = BODY_WEIGHT, per: tuple[str, ...] = ()) -> DataFrame:
+    """BM25 of case-insensitive substrings over title and body; terms under three characters are ignored."""
+    return _lanes(atoms, queries, (SUBSTRING,), title_weight, body_weight, per).drop("lane")
+
+
+def word_lane(atoms: DataFrame | Index, queries: DataFrame, title_weight: float = TITLE_WEIGHT, body_weight: float = BODY_WEIGHT, per: tuple[str, ...] = ()) -> DataFrame:
     """BM25 of word tokens; a term of four characters or more matches by prefix, inner punctuation makes a phrase."""
-    terms = _terms(queries, T.word_terms(F.col("query")))
-    kinds = terms.select("term").distinct().withColumns({"phrase": T.index_tokens(F.col("term")), "prefix": F.length("term") >= 4}).where(F.size("phrase") > 0)
-    tokens = atoms.select(*per, "id", T.index_tokens(F.col("title")).alias("tt"), T.index_tokens(F.col("body")).alias("bt"), T.fold(F.concat_ws(" ", "title", "body")).alias("folded")).withColumn("len", F.size("tt") + F.size("bt"))
-    # a match holds its first token as a substring: a cheap test before the token arrays are walked
-    held = F.col("folded").contains(F.element_at("phrase", 1))
-    counted = tokens.join(_maybe_broadcast(kinds), held).select(*per, "term", "id", "len", (title_weight * _phrases(F.col("tt"), F.col("phrase"), F.col("prefix")) + body_weight * _phrases(F.col("bt"), F.col("phrase"), F.col("prefix"))).alias("tf"))
-    return _score(counted.where("tf > 0"), terms, tokens, list(per))
+    return _lanes(atoms, queries, (WORD,), title_weight, body_weight, per).drop("lane")
 
 
-def scope(hits: DataFrame, atoms: DataFrame, condition: Column | None = None) -> DataFrame:
+def scope(hits: DataFrame, atoms: DataFrame | Index, condition: Column | None = None) -> DataFrame:
     """Graph, cluster or shard filter of scored hits, after the scores."""
-    return hits if condition is None else hits.join(atoms.where(condition).select("id"), "id", "left_semi")
+    if condition is None:
+        return hits
+    frame = atoms.atoms if isinstance(atoms, Index) else atoms
+    return hits.join(frame.where(condition).select("id"), "id", "left_semi")
 
 
 def top(hits: DataFrame, limit: int = 10, per: tuple[str, ...] = ()) -> DataFrame:
@@ -107,29 +246,35 @@ def rrf(ranked: DataFrame, by: list[str], key: str, k: int = RRF_K, lane: str =
     key as a string.  A weight counts as that many equal lists.
     """
     w = F.col(weight) if weight else F.lit(1)
-    fused = ranked.groupBy(*by, key).agg(F.sum(w / (k + F.col("rank"))).alias("rrf_score"), F.sum(w).alias("contributions"), F.min("rank").alias("best_rank"), F.array_join(F.array_sort(F.collect_set(lane)), ",").alias("sources"))
+    sources = F.array_join(F.array_sort(F.collect_set(lane)), ",").alias("sources")
+    fused = ranked.groupBy(*by, key).agg(F.sum(w / (k + F.col("rank"))).alias("rrf_score"), F.sum(w).alias("contributions"), F.min("rank").alias("best_rank"), sources)
     order = Window.partitionBy(*by).orderBy(F.desc(F.round("rrf_score", 12)), F.desc("contributions"), "best_rank", F.col(key).cast("string"))
     return fused.withColumn("fused_rank", F.row_number().over(order))
 
 
-def hybrid(atoms: DataFrame, queries: DataFrame, limit: int = 10, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, per: tuple[str, ...] = ()) -> DataFrame:
+def hybrid(atoms: DataFrame | Index, queries: DataFrame, limit: int = 10, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, per: tuple[str, ...] = (), only: DataFrame | None = None) -> DataFrame:
     """Substring and word lanes of every query term, and a vector lane of the whole query, fused.
 
     The terms replace the query where it has any.  With several terms, those
     that look like identifiers count three times.  With ``per``, each of its
-    values is an index of its own and has its own best ``limit``.
+    values is an index of its own and has its own best ``limit``; ``only``
+    (query_id, *per) then names those in which a query is asked.
     """
     over = max(limit, 12)
     found = queries.select("query_id", "query", T.keyword_terms(F.col("query")).alias("terms"))
     several = F.size("terms") > 1
     parts = found.select("query_id", F.explode(F.when(F.size("terms") > 0, F.col("terms")).otherwise(F.array("query"))).alias("part"), several.alias("several"))
     parts = parts.withColumns({"weight": F.when(F.col("several") & T.is_identifier(F.col("part")), 3).otherwise(1)}).select("query_id", "part", "weight").distinct()
-    each = parts.select("part").distinct().select(F.col("part").alias("query_id"), F.col("part").alias("query"))
-    lanes = None
-    for name, lane in (("trigram", substring_lane), ("word", word_lane)):
-        ranked = top(lane(atoms, each, per=per), over, per).select(F.col("query_id").alias("part"), *per, "id", "rank", F.lit(name).alias("lane"))
-        lanes = ranked if lanes is None else lanes.unionByName(ranked)
-    ranked = lanes.join(parts, "part").select("query_id", *per, "lane", "id", "rank", "weight")
+    each = cut(parts.select("part").distinct().withColumn("p", F.monotonically_increasing_id()))
+    parts = cut(parts.join(each, "part").drop("part"))
+    few = _small(parts)
+    scoped = None if only is None else parts.join(only, "query_id").select(F.col("p").alias("query_id"), *per).distinct()
+    hits = _lanes(atoms, each.select(F.col("p").alias("query_id"), F.col("part").alias("query")), (SUBSTRING, WORD), TITLE_WEIGHT, BODY_WEIGHT, per, scoped)
+    best = top(hits, over, ("lane", *per)).select(F.col("query_id").alias("p"), "lane", *per, "id", "rank")
+    ranked = best.join(few(parts), "p")
+    if only is not None:
+        ranked = ranked.join(_maybe_broadcast(only.select("query_id", *per).distinct(), BROADCAST_RUNS), ["query_id", *per], "left_semi")
+    ranked = ranked.select("query_id", *per, "lane", "id", "rank", "weight")
     if vectors is not None and query_vectors is not None:
         near = vector_lane(vectors, query_vectors, over).select("query_id", F.lit("vector").alias("lane"), "id", "rank", F.lit(1).alias("weight"))
         ranked = ranked.unionByName(near)

@@ -48,6 +48,11 @@ def atoms_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select((F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("id"), "shard_key", "graph", F.col("graph").alias("cluster"), "doc_id", "title", "chunk_index", "body")
 
 
+def index_of(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The postings of all atoms, written once."""
+    return search.Index(atoms_of(spark, sf_dir), ("shard_key",)).stored()
+
+
 def asked(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(ASKED), "query_id bigint, query string")
 
@@ -66,29 +71,36 @@ def _occurs(text: str, term: str) -> str:
     return f"len(list_filter(range(1, length({text}) + 1), lambda i: substr({text}, i::INT, length({term})::INT) = {term}))"
 
 
-def lane_sql(kind: str, queries: str, name: str) -> str:
-    """CTEs that end in ``name`` (query_id, id, score)."""
-    p = name
+def lane_sql(kind: str, queries: str, name: str, per_shard: bool = False, only: str = "") -> str:
+    """CTEs that end in ``name`` (query_id, id, score), with shard_key if each shard is an index of its own.
+
+    ``only``: a relation (query_id, shard_key) of the shards in which a query is asked.
+    """
+    p, shard, by = name, "shard_key, " if per_shard else "", "JOIN {r} USING (shard_key)" if per_shard else "CROSS JOIN {r}"
     if kind == "trigram":
         terms = f"SELECT query_id, unnest(list_filter(string_split_regex(lower(trim(query)), '\\s+'), lambda w: length(w) >= 3)) AS term FROM {queries}"
-        sized = f"SELECT id, lower(title) AS t, lower(body) AS b, greatest(length(title) - 2, 0) + greatest(length(body) - 2, 0) AS len FROM {ATOMS}"
-        hits = f"SELECT term, id, len, 2.0 * {_occurs('t', 'term')} + 1.0 * {_occurs('b', 'term')} AS tf FROM {p}_sized, (SELECT DISTINCT term FROM {p}_terms) WHERE contains(t, term) OR contains(b, term)"
+        sized = f"SELECT {shard}id, lower(title) AS t, lower(body) AS b, greatest(length(title) - 2, 0) + greatest(length(body) - 2, 0) AS len FROM {ATOMS}"
+        hits = f"SELECT {shard}term, id, len, 2.0 * {_occurs('t', 'term')} + 1.0 * {_occurs('b', 'term')} AS tf FROM {p}_sized, (SELECT DISTINCT term FROM {p}_terms) WHERE contains(t, term) OR contains(b, term)"
     else:
         token = "[\\p{L}\\p{N}_$]+"
         terms = f"SELECT query_id, unnest(list_filter(list_transform(string_split_regex(trim(query), '\\s+'), lambda w: regexp_replace(regexp_replace(w, '^[^\\p{{L}}\\p{{N}}_$]+', ''), '[^\\p{{L}}\\p{{N}}_$]+$', '')), lambda w: length(w) > 0)) AS term FROM {queries}"
-        sized = f"SELECT *, len(t) + len(b) AS len FROM (SELECT id, regexp_extract_all(strip_accents(lower(title)), '{token}') AS t, regexp_extract_all(strip_accents(lower(body)), '{token}') AS b FROM {ATOMS})"
+        sized = f"SELECT *, len(t) + len(b) AS len FROM (SELECT {shard}id, regexp_extract_all(strip_accents(lower(title)), '{token}') AS t, regexp_extract_all(strip_accents(lower(body)), '{token}') AS b FROM {ATOMS})"
+        # the distinct tokens of an atom meet the terms; single-token terms alone
+        tokens = f"SELECT {shard}id, len, w, 2.0 * sum(x) + sum(y) AS n FROM (SELECT {shard}id, len, unnest(t) AS w, 1 AS x, 0 AS y FROM {p}_sized UNION ALL SELECT {shard}id, len, unnest(b), 0, 1 FROM {p}_sized) GROUP BY ALL"
         match = "CASE WHEN length(term) >= 4 THEN starts_with(w, strip_accents(lower(term))) ELSE w = strip_accents(lower(term)) END"
-        hits = f"SELECT * FROM (SELECT term, id, len, 2.0 * len(list_filter(t, lambda w: {match})) + 1.0 * len(list_filter(b, lambda w: {match})) AS tf FROM {p}_sized, (SELECT DISTINCT term FROM {p}_terms)) WHERE tf > 0"
-    return f"""{p}_terms AS (SELECT query_id, term, count(*) AS times FROM ({terms}) GROUP BY ALL),
-{p}_sized AS ({sized}), {p}_stats AS (SELECT count(*) AS total, avg(len) AS al FROM {p}_sized), {p}_hits AS ({hits}),
-{p}_n AS (SELECT term, count(*) AS n FROM {p}_hits GROUP BY term),
-{p} AS (SELECT query_id, id, -sum(({_IDF}) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al)) * times) AS score
-  FROM {p}_hits JOIN {p}_n USING (term) CROSS JOIN {p}_stats JOIN {p}_terms USING (term) GROUP BY query_id, id
-  HAVING count(*) = (SELECT count(*) FROM {p}_terms q WHERE q.query_id = {p}_terms.query_id))"""
+        vocabulary = f"SELECT term, w FROM (SELECT DISTINCT w FROM ({tokens})), (SELECT DISTINCT term FROM {p}_terms) WHERE {match}"
+        hits = f"SELECT {shard}term, id, len, sum(n) AS tf FROM ({tokens}) JOIN ({vocabulary}) USING (w) GROUP BY ALL"
+    asked = f"(SELECT * FROM {p}_terms JOIN {only} USING (query_id))" if only else f"{p}_terms"
+    return f"""{p}_terms AS (SELECT query_id, term, count(*) AS times FROM ({terms}) GROUP BY ALL), {p}_need AS (SELECT query_id, count(*) AS need FROM {p}_terms GROUP BY query_id),
+{p}_sized AS ({sized}), {p}_stats AS (SELECT {shard}count(*) AS total, avg(len) AS al FROM {p}_sized GROUP BY ALL), {p}_hits AS ({hits}),
+{p}_n AS (SELECT {shard}term, count(*) AS n FROM {p}_hits GROUP BY ALL),
+{p} AS (SELECT query_id, {shard}id, -sum(({_IDF}) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al)) * times) AS score
+  FROM {p}_hits JOIN {p}_n USING ({shard}term) {by.format(r=p + '_stats')} JOIN {asked} USING ({shard if only else ''}term) JOIN {p}_need USING (query_id) GROUP BY query_id, {shard}id, need
+  HAVING count(*) = need)"""
 
 
-def top_sql(name: str, limit: int = 10, where: str = "true") -> str:
-    return f"SELECT * FROM (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), id) AS rank FROM {name} WHERE {where}) WHERE rank <= {limit}"
+def top_sql(name: str, limit: int = 10, where: str = "true", shard: str = "") -> str:
+    return f"SELECT * FROM (SELECT query_id, {shard}id, round(score, 6) AS score, row_number() OVER (PARTITION BY {shard}query_id ORDER BY round(score, 9), id) AS rank FROM {name} WHERE {where}) WHERE rank <= {limit}"
 
 
 Q = _rows(ASKED, "query_id, query")
@@ -122,18 +134,18 @@ def cluster_route(spark, d):
 
 @query(f"WITH {lane_sql('trigram', Q, 'lane')} {top_sql('lane')}")
 def trigram_bm25(spark, d):
-    return ranked(search.substring_lane(atoms_of(spark, d), asked(spark)))
+    return ranked(search.substring_lane(index_of(spark, d), asked(spark)))
 
 
 @query(f"WITH {lane_sql('trigram', Q, 'lane')} {top_sql('lane', where=f'id IN (SELECT id FROM {ATOMS} WHERE graph = {chr(39)}en{chr(39)})')}")
 def trigram_bm25_scoped(spark, d):
-    atoms = atoms_of(spark, d)
-    return ranked(search.scope(search.substring_lane(atoms, asked(spark)), atoms, F.col("graph") == "en"))
+    index = index_of(spark, d)
+    return ranked(search.scope(search.substring_lane(index, asked(spark)), index, F.col("graph") == "en"))
 
 
 @query(f"WITH {lane_sql('word', Q, 'lane')} {top_sql('lane')}")
 def word_bm25(spark, d):
-    return ranked(search.word_lane(atoms_of(spark, d), asked(spark)))
+    return ranked(search.word_lane(index_of(spark, d), asked(spark)))
 
 
 def terms_sql(text: str) -> str:
@@ -169,19 +181,24 @@ def fused(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {lane_sql('trigram', Q, 'a')}, {lane_sql('word', Q, 'b')} " + fused_sql(f"(SELECT *, 1 AS w, 'trigram' AS lane FROM ({top_sql('a')}) UNION ALL SELECT *, 1, 'word' FROM ({top_sql('b')}))", 20))
 def rrf_fusion(spark, d):
-    atoms, q = atoms_of(spark, d), asked(spark)
-    lists = search.top(search.substring_lane(atoms, q)).withColumn("lane", F.lit("trigram")).unionByName(search.top(search.word_lane(atoms, q)).withColumn("lane", F.lit("word")))
+    index, q = index_of(spark, d), asked(spark)
+    lists = search.top(search.substring_lane(index, q)).withColumn("lane", F.lit("trigram")).unionByName(search.top(search.word_lane(index, q)).withColumn("lane", F.lit("word")))
     return fused(search.rrf(lists, ["query_id"], "id").where("fused_rank <= 20"))
 
 
+_BENCH = "(SELECT item_id AS query_id, text AS query FROM benchmark)"
 _PARTS = f"""parts AS (SELECT DISTINCT query_id AS qid, part, CASE WHEN several AND regexp_matches(part, '[0-9_$\\-]|[a-z][A-Z]') THEN 3 ELSE 1 END AS w
-  FROM (SELECT query_id, unnest(CASE WHEN len(terms) > 0 THEN terms ELSE [query] END) AS part, len(terms) > 1 AS several FROM {terms_sql('query').format(source=Q)})),
+  FROM (SELECT query_id, unnest(CASE WHEN len(terms) > 0 THEN terms ELSE [query] END) AS part, len(terms) > 1 AS several FROM {terms_sql('query').format(source=_BENCH)})),
 each_part AS (SELECT DISTINCT part AS query_id, part AS query FROM parts)"""
 
 
+def bench_queries(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
 @query(f"WITH {_PARTS}, {lane_sql('trigram', 'each_part', 'a')}, {lane_sql('word', 'each_part', 'b')}, lists AS (SELECT qid AS query_id, id, rank, w, lane FROM parts JOIN (SELECT *, 'trigram' AS lane FROM ({top_sql('a', 12)}) UNION ALL SELECT *, 'word' FROM ({top_sql('b', 12)})) l ON l.query_id = part) " + fused_sql("lists", 10))
 def hybrid_search(spark, d):
-    return fused(search.hybrid(atoms_of(spark, d), asked(spark)))
+    return fused(search.hybrid(index_of(spark, d), bench_queries(spark, d)))
 
 
 _STOPS = ", ".join(f"'{w}'" for w in T.STATS_STOP)
@@ -219,11 +236,30 @@ def shards_of(spark, d):
     return cut(sizes.join(terms, "shard_key", "left").select("shard_key", F.col("shard_key").alias("display_name"), F.coalesce("routing_terms", F.array().cast("array<string>")).alias("routing_terms"), F.lit("ACTIVE").alias("status"), "updated_at"))
 
 
-def bench_queries(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-
-
-@query()
+_SPLIT = "list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+_ROUTED = f"""{_SIGNATURE}, shards AS (SELECT * FROM (SELECT source AS shard_key, max(doc_id) AS updated_at FROM documents GROUP BY source) LEFT JOIN (SELECT shard_key, list(term ORDER BY rank) AS rt FROM sig GROUP BY shard_key) USING (shard_key)),
+recency AS (SELECT shard_key, row_number() OVER (ORDER BY updated_at DESC, shard_key) AS recent FROM shards),
+asked AS (SELECT item_id AS query_id, CASE WHEN len(terms) > 1 THEN terms ELSE [trim(regexp_replace(text, '\\s+', ' ', 'g'))] END AS parts FROM {terms_sql('text').format(source='benchmark')}),
+asked_parts AS (SELECT query_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS term_pos FROM asked),
+sw AS (SELECT shard_key, unnest(list_concat({_SPLIT.format(x='shard_key')}, {_SPLIT.format(x='shard_key')}, flatten(list_transform(coalesce(rt, []), lambda r: {_SPLIT.format(x='r')})))) AS word FROM shards),
+sized AS (SELECT shard_key, count(*) AS len FROM sw GROUP BY 1), sstats AS (SELECT count(*) AS total, avg(len) AS al FROM sized),
+stf AS (SELECT shard_key, word, count(*) AS tf FROM sw GROUP BY ALL), sn AS (SELECT word, count(*) AS n FROM stf GROUP BY word),
+pw AS (SELECT query_id, term_pos, unnest(list_distinct(flatten(list_transform(string_split_regex(part, '\\s+'), lambda r: {_SPLIT.format(x='r')})))) AS word FROM asked_parts),
+text_rank AS (SELECT * FROM (SELECT query_id, term_pos, shard_key, row_number() OVER (PARTITION BY query_id, term_pos ORDER BY round(score, 9) DESC, shard_key) AS rank FROM (
+  SELECT query_id, term_pos, shard_key, sum(greatest(ln((total - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))) AS score
+  FROM pw JOIN stf USING (word) JOIN sn USING (word) JOIN sized USING (shard_key) CROSS JOIN sstats GROUP BY ALL)) WHERE rank <= 64),
+heads AS (SELECT shard_key, unnest(rt[1:32]) AS keyword, generate_subscripts(rt[1:32], 1) AS pos FROM shards),
+density_rank AS (SELECT query_id, term_pos, shard_key, row_number() OVER (PARTITION BY query_id, term_pos ORDER BY round(density, 9) DESC, shard_key) AS rank FROM (
+  SELECT query_id, term_pos, shard_key, sum((length(lower(part)) - length(replace(lower(part), lower(keyword), ''))) / length(keyword)::DOUBLE * greatest(1.0, length(keyword) / 4.0) * 1000 / length(part) * CASE WHEN pos <= 8 THEN 3 ELSE 1 END) AS density
+  FROM asked_parts JOIN heads ON contains(lower(part), lower(keyword)) GROUP BY ALL) WHERE density > 0),
+candidates AS (SELECT * FROM (SELECT query_id, term_pos, shard_key, row_number() OVER (PARTITION BY query_id, term_pos ORDER BY round(base + 0.05 / (60 + recent), 12) DESC, shard_key) AS rank
+  FROM (SELECT query_id, term_pos, shard_key, sum(1.0 / (60 + rank)) AS base FROM (SELECT * FROM text_rank UNION ALL SELECT * FROM density_rank) GROUP BY ALL) JOIN recency USING (shard_key)) WHERE rank <= 32),
+once AS (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY query_id, shard_key ORDER BY rank, term_pos) = 1),
+taken AS (SELECT * FROM (SELECT query_id, shard_key, row_number() OVER (PARTITION BY query_id ORDER BY rank, term_pos) AS route_rank FROM once) WHERE route_rank <= 32),
+routed AS (SELECT * FROM taken UNION ALL SELECT item_id, shard_key, recent FROM benchmark, recency WHERE recent <= 4 AND item_id NOT IN (SELECT query_id FROM taken))"""
+
+
+@query(f"WITH {_ROUTED} SELECT query_id, shard_key, route_rank, false AS pinned FROM routed")
 def shard_route(spark, d):
     return routing.route(shards_of(spark, d), bench_queries(spark, d)).select("query_id", "shard_key", "route_rank", "pinned")
 
@@ -239,35 +275,47 @@ def shard_route_interleave(spark, d):
     return routing.interleave(lists, 8)
 
 
-@query()
-def federated_search(spark, d):
-    hits, _ = routing.federated(atoms_of(spark, d), shards_of(spark, d), asked(spark), strict=True)
-    return hits.select("query_id", "shard_key", "id", F.round("rrf_score", 9).alias("rrf_score"), "shard_rank", "fused_rank")
+_SHARD_LANES = " UNION ALL ".join(f"SELECT *, '{lane}' AS lane FROM ({top_sql(cte, 12, shard='shard_key, ')})" for cte, lane in (("a", "trigram"), ("b", "word")))
 
 
-_WORDS = ("idiot", "worthless", "licensed", "zzzz")
+@query(f"""WITH {_ROUTED}, {_PARTS}, pairs AS (SELECT DISTINCT part AS query_id, shard_key FROM parts JOIN routed ON routed.query_id = qid),
+{lane_sql('trigram', 'each_part', 'a', True, 'pairs')}, {lane_sql('word', 'each_part', 'b', True, 'pairs')},
+lists AS (SELECT qid AS query_id, l.shard_key, id, rank, w FROM parts JOIN ({_SHARD_LANES}) l ON l.query_id = part JOIN routed r ON r.query_id = qid AND r.shard_key = l.shard_key),
+home AS (SELECT * FROM (SELECT query_id, shard_key, id, row_number() OVER (PARTITION BY query_id, shard_key ORDER BY round(s, 12) DESC, c DESC, best, id::VARCHAR) AS shard_rank
+  FROM (SELECT query_id, shard_key, id, sum(w / (60.0 + rank)) AS s, sum(w) AS c, min(rank) AS best FROM lists GROUP BY ALL)) WHERE shard_rank <= 10)
+SELECT * FROM (SELECT query_id, shard_key, id, round(1.0 / (60 + shard_rank), 9) AS rrf_score, shard_rank, row_number() OVER (PARTITION BY query_id ORDER BY shard_rank, shard_key || ':' || id) AS fused_rank FROM home) WHERE fused_rank <= 20""")
+def federated_search(spark, d):
+    hits, _ = routing.federated(index_of(spark, d), shards_of(spark, d), bench_queries(spark, d), strict=True)
+    return hits.select("query_id", "shard_key", "id", F.round("rrf_score", 9).alias("rrf_score"), "shard_rank", "fused_rank")
 
 
-@query(f"""WITH q AS (SELECT i AS query_id, w AS word FROM {_rows(tuple(enumerate(_WORDS, 1)), 'i, w')}),
-r AS (SELECT query_id, word, source AS shard_key, row_number() OVER (PARTITION BY query_id ORDER BY source) AS route_rank FROM q, (SELECT DISTINCT source FROM documents)),
-p AS (SELECT query_id, shard_key, route_rank, ceil(route_rank / 4.0)::BIGINT AS wave, EXISTS (SELECT 1 FROM documents d WHERE d.source = r.shard_key AND contains(lower(d.text), word) AND d.lang = 'en' AND length(d.text) > 9000) AS hit FROM r)
+@query(f"""WITH {_ROUTED}, q AS (SELECT item_id AS query_id, unnest(terms) AS term FROM {terms_sql('text').format(source='benchmark')}),
+w AS (SELECT DISTINCT source AS shard_key, unnest(string_split_regex(lower(text), '\\s+')) AS word FROM documents),
+seen AS (SELECT query_id, shard_key, count(*) AS n FROM (SELECT DISTINCT query_id, shard_key, lower(term) AS term FROM q JOIN w ON lower(term) = word) GROUP BY ALL),
+whole AS (SELECT query_id, count(DISTINCT lower(term)) AS need FROM q GROUP BY 1),
+p AS (SELECT r.*, ceil(route_rank / 4.0)::BIGINT AS wave, n IS NOT NULL AND n = need AS hit FROM routed r LEFT JOIN seen USING (query_id, shard_key) LEFT JOIN whole USING (query_id))
 SELECT query_id, shard_key, route_rank, wave FROM (SELECT *, min(CASE WHEN hit THEN wave END) OVER (PARTITION BY query_id) AS stop FROM p) WHERE stop IS NULL OR wave <= stop""")
 def probe_waves(spark, d):
-    docs = source_documents(spark, d)
-    q = spark.createDataFrame(list(enumerate(_WORDS, 1)), "query_id int, word string")
-    order = search.Window.partitionBy("query_id").orderBy("shard_key")
-    routed = F.broadcast(q).join(docs.select("shard_key").distinct()).withColumn("route_rank", F.row_number().over(order))
-    hits = docs.where((F.col("graph") == "en") & (F.length("text") > 9000)).join(F.broadcast(q), F.lower("text").contains(F.col("word"))).select("query_id", "shard_key").distinct()
-    return routing.waves(routed.drop("word"), hits).select("query_id", "shard_key", "route_rank", "wave")
+    """A shard has a hit if its documents have every term of the query as a whole word."""
+    q = bench_queries(spark, d)
+    terms = q.select("query_id", F.explode(T.keyword_terms(F.col("query"))).alias("word")).select("query_id", F.lower("word").alias("word")).distinct()
+    words = source_documents(spark, d).select("shard_key", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).distinct()
+    need = terms.groupBy("query_id").agg(F.count("*").alias("need"))
+    seen = words.join(terms, "word").groupBy("query_id", "shard_key").agg(F.count("*").alias("n")).join(need, "query_id").where("n = need")
+    routed = routing.route(shards_of(spark, d), q).select("query_id", "shard_key", "route_rank")
+    return routing.waves(routed, seen).select("query_id", "shard_key", "route_rank", "wave")
 
 
-_HINTS = ((1, "space:ENG how does paging work"), (2, "find repo:core/api retry budget"), (3, "shard:cf:OPS"), (4, "no hint here"), (5, "space: nothing"))
+_HINTED = "(SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'space:' || source || ' ' || text WHEN 1 THEN text || ' repo:' || lang || '/' || source WHEN 2 THEN 'shard:cf:' || lang ELSE text END AS query FROM documents)"
+_HINT_AT = "'(?:^|\\s)((space|repo|shard):(\\S+))'"
 
 
 @query(f"""SELECT id, CASE k WHEN 'space' THEN 'cf:' || v WHEN 'repo' THEN 'gh:' || v WHEN 'shard' THEN v END AS hint, trim(regexp_replace(CASE WHEN t <> '' THEN replace(query, t, '') ELSE query END, '\\s+', ' ', 'g')) AS query
-FROM (SELECT *, regexp_extract(query, '(?:^|\\s)((space|repo|shard):(\\S+))', 2) AS k, regexp_extract(query, '(?:^|\\s)((space|repo|shard):(\\S+))', 3) AS v, regexp_extract(query, '(?:^|\\s)((space|repo|shard):(\\S+))', 1) AS t FROM {_rows(_HINTS, 'id, query')})""")
+FROM (SELECT *, regexp_extract(query, {_HINT_AT}, 2) AS k, regexp_extract(query, {_HINT_AT}, 3) AS v, regexp_extract(query, {_HINT_AT}, 1) AS t FROM {_HINTED})""")
 def parse_hint(spark, d):
-    return spark.createDataFrame(list(_HINTS), "id int, query string").withColumn("h", T.parse_hint(F.col("query"))).select("id", "h.hint", "h.query")
+    text = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("space:"), "source", F.lit(" "), "text")).when(F.col("doc_id") % 4 == 1, F.concat("text", F.lit(" repo:"), "lang", F.lit("/"), "source"))
+    text = text.when(F.col("doc_id") % 4 == 2, F.concat(F.lit("shard:cf:"), "lang")).otherwise(F.col("text"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.alias("query")).withColumn("h", T.parse_hint(F.col("query"))).select("id", "h.hint", "h.query")
 
 
 _SUM_STOP = "[" + ", ".join(f"'{w}'" for w in T.SUMMARY_STOP) + "]"
@@ -329,13 +377,13 @@ def edges_of(spark, d):
     return graph.edges_of(trade_edges(spark, d), table(spark, d, "customer").select(F.col("c_custkey").alias("id"))).select("src", "dst", "edge_type", "weight")
 
 
-@query("""WITH old AS (SELECT l_partkey AS src, l_suppkey AS dst, 'supplied' AS edge_type, max(l_discount) AS weight FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL),
+@query("""WITH old AS (SELECT l_partkey AS src, l_suppkey AS dst, 'supplied' AS edge_type, max(l_discount) AS weight FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL),
 fresh AS (SELECT * FROM (SELECT l_partkey AS src, l_suppkey AS dst, 'supplied' AS edge_type, CASE WHEN l_linestatus = 'O' THEN l_tax ELSE 1 END AS w, l_orderkey * 100 + l_linenumber AS seq FROM lineitem WHERE l_returnflag = 'N') QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY seq DESC, w DESC) = 1)
 SELECT src, dst, edge_type, coalesce(w, weight) AS weight FROM old FULL JOIN fresh USING (src, dst, edge_type)""")
 def edge_upsert(spark, d):
     lines = table(spark, d, "lineitem").withColumn("edge_type", F.lit("supplied"))
     key = [F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), "edge_type"]
-    old = lines.where("l_returnflag = 'A'").groupBy(*key).agg(F.max("l_discount").alias("weight"))
+    old = lines.where("l_returnflag <> 'N'").groupBy(*key).agg(F.max("l_discount").alias("weight"))
     new = lines.where("l_returnflag = 'N'").select(*key, F.when(F.col("l_linestatus") == "O", F.col("l_tax")).alias("weight"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"))
     return graph.upsert_edges(old, new)
 
@@ -359,8 +407,9 @@ def next_chunks(atoms: DataFrame) -> DataFrame:
 offer AS (SELECT query_id, id + 1 AS id, max(s * 0.5 * 0.9) AS o FROM base WHERE id + 1 IN (SELECT id FROM {ATOMS}) GROUP BY ALL)
 SELECT query_id, id, round(greatest(s, o), 9) AS rrf_score, CASE WHEN s IS NULL OR o > s THEN concat_ws(',', sources, 'edge') ELSE sources END AS sources FROM base FULL JOIN offer USING (query_id, id)""")
 def edge_expand(spark, d):
-    atoms = atoms_of(spark, d)
-    base = search.rrf(search.top(search.substring_lane(atoms, asked(spark))).withColumn("lane", F.lit("trigram")), ["query_id"], "id")
+    index = index_of(spark, d)
+    atoms = index.atoms
+    base = search.rrf(search.top(search.substring_lane(index, asked(spark))).withColumn("lane", F.lit("trigram")), ["query_id"], "id")
     return search.expand_edges(base, next_chunks(atoms)).select("query_id", "id", F.round("rrf_score", 9).alias("rrf_score"), "sources")
 
 
@@ -621,12 +670,15 @@ def metric_means(spark, d):
     return evaluate.metric_means(table(spark, d, "events").select(F.col("event_type").alias("name"), component.alias("component"), F.col("value").alias("score"), (F.col("value") >= 50).alias("passed")))
 
 
-@query()
-def hashing_embed(spark, d):
-    return V.embed(table(spark, d, "benchmark"), "text").select("item_id", F.expr("transform(embedding, x -> round(x, 5))").alias("embedding"))
+_FNV = "list_reduce(list_transform(string_split({x}, ''), lambda c: unicode(c)::BIGINT), lambda h, c: ((xor(h, c) * 16777619) & 4294967295)::BIGINT, 2166136261::BIGINT)"
+_GRAMS = "(SELECT item_id, substr(lower(text), i::INT, 3) AS g FROM (SELECT item_id, text, unnest(range(1, length(lower(text)) - 1)) AS i FROM benchmark))"
 
 
-_FNV = "list_reduce(list_transform(string_split({x}, ''), lambda c: unicode(c)::BIGINT), lambda h, c: ((xor(h, c) * 16777619) & 4294967295)::BIGINT, 2166136261::BIGINT)"
+@query(f"""WITH b AS (SELECT item_id, (h % 384)::INT AS bucket, sum(CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END) AS v FROM (SELECT item_id, {_FNV.format(x='g')} AS h FROM {_GRAMS}) GROUP BY ALL)
+SELECT item_id, bucket, round((v / sqrt(sum(v * v) OVER (PARTITION BY item_id)))::FLOAT::DOUBLE, 5) AS weight FROM b WHERE v <> 0""")
+def hashing_embed(spark, d):
+    each = V.embed(table(spark, d, "benchmark"), "text").select("item_id", F.posexplode("embedding").alias("bucket", "x"))
+    return each.where("x <> 0").select("item_id", "bucket", F.round(F.col("x").cast("double"), 5).alias("weight"))
 
 
 @query("SELECT doc_id, " + _FNV.format(x="source || '/' || lang") + " AS hash FROM documents")
@@ -634,14 +686,19 @@ def fnv_hash(spark, d):
     return source_documents(spark, d).select("doc_id", T.fnv1a(F.col("title")).alias("hash"))
 
 
-_RAW = (":100644 100644 aaa1111 bbb2222 M\tsrc/a.ts", ":000000 100644 0000000 ccc3333 A\tsrc/b.ts", ":100644 000000 ddd4444 0000000 D\told.md", ":100644 100644 eee5555 fff6666 R097\tx/y.md\tx/z.md", ":100644 120000 1234567 7654321 T\tlink")
+_RAW = """(SELECT ':100644 ' || CASE k WHEN 'T' THEN '120000' ELSE '100644' END || ' ' || substr(h, 1, 7) || ' ' || CASE k WHEN 'D' THEN '0000000' ELSE substr(h, 8, 7) END || ' ' || k || CASE k WHEN 'R' THEN '097' ELSE '' END || chr(9) || source || '/' || doc_id || '.md'
+  || CASE k WHEN 'R' THEN chr(9) || lang || '/' || doc_id || '.md' ELSE '' END AS line FROM (SELECT *, sha256(text) AS h, substr('AMDRT', (doc_id % 5)::INT + 1, 1) AS k FROM documents))"""
 _RAWX = "'^:\\d+ \\d+ [0-9a-f]+ ([0-9a-f]+) ([A-Z])\\d*\\t([^\\t]+)(?:\\t([^\\t]+))?$'"
 
 
-@query(f"""WITH r AS (SELECT regexp_extract(line, {_RAWX}, 1) AS sha, regexp_extract(line, {_RAWX}, 2) AS s, regexp_extract(line, {_RAWX}, 3) AS a, regexp_extract(line, {_RAWX}, 4) AS b FROM {_rows(tuple((x,) for x in _RAW), 'line')})
+@query(f"""WITH r AS (SELECT regexp_extract(line, {_RAWX}, 1) AS sha, regexp_extract(line, {_RAWX}, 2) AS s, regexp_extract(line, {_RAWX}, 3) AS a, regexp_extract(line, {_RAWX}, 4) AS b FROM {_RAW})
 SELECT 'delete' AS action, a AS path, NULL::VARCHAR AS sha FROM r WHERE s IN ('D', 'R') UNION ALL SELECT 'upsert', CASE s WHEN 'R' THEN b ELSE a END, sha FROM r WHERE s IN ('A', 'M', 'R')""")
 def git_raw_diff(spark, d):
-    return connectors.parse_raw_diff(spark.createDataFrame([(x,) for x in _RAW], "line string"))
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", F.sha2("text", 256).alias("h"), F.substring(F.lit("AMDRT"), (F.col("doc_id") % 5 + 1).cast("int"), F.lit(1)).alias("k"))
+    name, k = F.concat(F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")), F.col("k")
+    head = F.concat(F.lit(":100644 "), F.when(k == "T", "120000").otherwise("100644"), F.lit(" "), F.substring("h", 1, 7), F.lit(" "), F.when(k == "D", F.lit("0000000")).otherwise(F.substring("h", 8, 7)), F.lit(" "), k, F.when(k == "R", "097").otherwise(""))
+    line = F.concat(head, F.lit("\t"), "source", name, F.when(k == "R", F.concat(F.lit("\t"), "lang", name)).otherwise(""))
+    return connectors.parse_raw_diff(docs.select(line.alias("line")))
 
 
 @query("SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE 'root' END AS name, count(*) AS files FROM (SELECT CASE WHEN lang = 'es' THEN doc_id || '.md' ELSE source || '/' || lang || '/' || doc_id || '.md' END AS path FROM documents) GROUP BY 1")
@@ -653,15 +710,20 @@ def top_level_clusters(spark, d):
     return named.join(names, "name").groupBy("name").agg(F.count("*").alias("files"))
 
 
-_NOW = (("hybrid.p95", "latency", 4.0), ("ingest", "throughput", 700.0), ("sync", "throughput", 1500.0), ("word.p95", "latency", 0.6), ("kind", "latency", 3.0))
-_THEN = (("hybrid.p95", "latency", 3.0), ("ingest", "throughput", 730.0), ("sync", "throughput", 2600.0), ("word.p95", "latency", 0.3), ("gone", "latency", 1.0), ("kind", "throughput", 3.0))
+_KIND = "CASE WHEN {x} % {m} = 0 THEN 'throughput' ELSE 'latency' END"
+_THEN = f"(SELECT 'nation' || c_nationkey AS name, {_KIND.format(x='c_nationkey', m=2)} AS kind, avg(c_acctbal) / 1000 AS value FROM customer GROUP BY c_nationkey)"
+_NOW = f"(SELECT 'nation' || s_nationkey AS name, {_KIND.format(x='s_nationkey', m='(2 + s_nationkey // 20)')} AS kind, avg(s_acctbal) / 1000 AS value FROM supplier GROUP BY s_nationkey)"
 
 
 @query(f"""SELECT name, reason <> 'ok' AS regressed, reason FROM (SELECT b.name, CASE WHEN c.kind IS NULL THEN 'missing' WHEN c.kind <> b.kind THEN 'another kind' WHEN b.kind = 'latency' AND c.value > b.value * 1.25 AND c.value - b.value > 0.5 THEN 'slower' WHEN b.kind = 'throughput' AND c.value < b.value * 0.75 THEN 'less throughput' ELSE 'ok' END AS reason
-FROM {_rows(_THEN, 'name, kind, value')} b LEFT JOIN {_rows(_NOW, 'name, kind, value')} c USING (name))""")
+FROM {_THEN} b LEFT JOIN {_NOW} c USING (name))""")
 def baseline_compare(spark, d):
-    schema = "name string, kind string, value double"
-    return evaluate.compare_baseline(spark.createDataFrame(list(_NOW), schema), spark.createDataFrame(list(_THEN), schema))
+    def metrics(name, key, amount, every):
+        kind = F.when(F.col(key) % every == 0, "throughput").otherwise("latency")
+        return table(spark, d, name).groupBy(key).agg((F.avg(amount) / 1000).alias("value")).select(F.concat(F.lit("nation"), F.col(key).cast("string")).alias("name"), kind.alias("kind"), "value")
+
+    then = metrics("customer", "c_nationkey", "c_acctbal", F.lit(2))
+    return evaluate.compare_baseline(metrics("supplier", "s_nationkey", "s_acctbal", F.lit(2) + F.expr("s_nationkey div 20")), then)
 
 
 @query("SELECT item_id, trim(substr(CASE WHEN f <> '' THEN f ELSE trim(text) END, 1, 200)) AS lead FROM (SELECT *, regexp_extract(trim(text), '(?s)^(.*?[.!?])(\\s|$)', 1) AS f FROM benchmark)")
@@ -676,7 +738,20 @@ def critique_input(spark, d):
     return q.select("item_id", F.round("q.self_containment", 6).alias("self_containment"), F.round("q.clarity", 6).alias("clarity"))
 
 
-@query()
+_ANSWERS = f"""cases AS (SELECT u.conv_id || '-' || u.turn AS case_id, u.text AS question, a.contexts FROM conversations u JOIN (SELECT conv_id, list(text ORDER BY turn) AS contexts FROM conversations WHERE role <> 'user' GROUP BY conv_id) a USING (conv_id) WHERE u.role = 'user'),
+parts AS (SELECT case_id, list_filter(flatten(list_transform(contexts, lambda c: list_transform(string_split_regex(regexp_replace(c, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+'), lambda x: trim(x)))), lambda x: x <> '') AS p FROM cases),
+sentences AS (SELECT case_id, unnest(p) AS sentence, generate_subscripts(p, 1) - 1 AS pos FROM parts),
+tf AS (SELECT case_id, pos, t, count(*) AS n FROM (SELECT case_id, pos, unnest({eval_sql('sentence')}) AS t FROM sentences) GROUP BY ALL),
+total AS (SELECT case_id, count(*) AS total FROM sentences GROUP BY 1), df AS (SELECT case_id, t, count(*) AS df FROM tf GROUP BY ALL),
+qt AS (SELECT case_id, t, count(*) AS m FROM (SELECT case_id, unnest({eval_sql('question')}) AS t FROM cases) GROUP BY ALL),
+wq AS (SELECT case_id, t, m * ln(1 + total / (1.0 + coalesce(df, 0))) AS wq FROM qt LEFT JOIN df USING (case_id, t) JOIN total USING (case_id)),
+ws AS (SELECT case_id, pos, t, n * ln(1 + total / (1.0 + df)) AS ws FROM tf JOIN df USING (case_id, t) JOIN total USING (case_id)),
+sim AS (SELECT case_id, pos, d / (ns * nq) AS s FROM (SELECT case_id, pos, sum(ws * wq) AS d FROM ws JOIN wq USING (case_id, t) GROUP BY ALL) JOIN (SELECT case_id, pos, sqrt(sum(ws * ws)) AS ns FROM ws GROUP BY ALL) USING (case_id, pos) JOIN (SELECT case_id, sqrt(sum(wq * wq)) AS nq FROM wq GROUP BY 1) USING (case_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(s, 9) DESC, pos) AS rank FROM (SELECT case_id, pos, sentence, coalesce(s, 0) AS s FROM sentences LEFT JOIN sim USING (case_id, pos)))"""
+
+
+@query(f"""WITH {_ANSWERS}, best AS (SELECT case_id, string_agg(sentence, ' ' ORDER BY pos) AS answer, max(s) AS best FROM ranked WHERE rank <= 3 AND s > 0 GROUP BY case_id)
+SELECT case_id, CASE WHEN coalesce(best, 0) < {evaluate.REFUSAL} THEN 'NO_ANSWER' ELSE answer END AS answer FROM cases LEFT JOIN best USING (case_id)""")
 def extractive_answer(spark, d):
     c = table(spark, d, "conversations")
     cases = c.where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("case_id"), F.col("text").alias("question"), "conv_id", "turn")
