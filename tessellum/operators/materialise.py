@@ -9,6 +9,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables of less than this many bytes in files are spread over all cores: as files they are one task's work.
+SPREAD_BYTES = 64 << 20
 #: Folders of ``written`` tables that weren't deleted yet.
 _MADE: list[str] = []
 
@@ -25,6 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or context._jsc.sc().getCheckpointDir().get()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, over all cores if it is small: a file of one row group is read by one task, whatever hangs on it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df checkpointed in the shared folder, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)

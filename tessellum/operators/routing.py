@@ -10,6 +10,8 @@ from .materialise import cut
 from .search import B, K1, RRF_K, Index, _maybe_broadcast, hybrid, rrf
 
 MIN_DENSITY = 1.0
+#: Keywords of clusters up to this many are part of the expression that routes an atom.
+INLINE = 256
 
 
 def keyword_density(body, keyword):
@@ -22,14 +24,30 @@ def keyword_density(body, keyword):
 def route_atoms(atoms: DataFrame, clusters: DataFrame, min_density: float = MIN_DENSITY) -> DataFrame:
     """atoms with cluster and density: the densest cluster, the first by name among equals, or general.
 
-    clusters: name, keywords.  One broadcast join and one aggregation by atom.
+    clusters: name, keywords.  Up to INLINE keywords the clusters are a
+    literal and every atom is judged in its own row, without a shuffle; more of
+    them are joined.
     """
-    words = clusters.select(F.col("name").alias("cluster_name"), F.explode("keywords").alias("keyword"))
-    each = atoms.select("id", "body").join(_maybe_broadcast(words)).groupBy("id", "cluster_name").agg(F.sum(keyword_density(F.col("body"), F.col("keyword"))).alias("density"))
-    order = Window.partitionBy("id").orderBy(F.desc(F.round("density", 9)), "cluster_name")
-    best = each.withColumn("r", F.row_number().over(order)).where("r = 1").where(F.col("density") >= min_density)
-    joined = atoms.join(best.select("id", F.col("cluster_name"), "density"), "id", "left")
-    return joined.withColumns({"cluster": F.coalesce("cluster_name", F.lit("general")), "density": F.coalesce("density", F.lit(0.0))}).drop("cluster_name")
+    words = clusters.select(F.col("name").alias("cluster_name"), F.explode("keywords").alias("keyword")).where(F.length("keyword") > 0)
+    known = words.limit(INLINE + 1).collect()
+    if len(known) > INLINE:
+        each = atoms.select("id", "body").join(_maybe_broadcast(words), F.lower("body").contains(F.lower("keyword"))).groupBy("id", "cluster_name").agg(F.sum(keyword_density(F.col("body"), F.col("keyword"))).alias("density"))
+        order = Window.partitionBy("id").orderBy(F.desc(F.round("density", 9)), "cluster_name")
+        best = each.withColumn("r", F.row_number().over(order)).where("r = 1").where(F.col("density") >= min_density)
+        joined = atoms.join(best.select("id", F.col("cluster_name"), "density"), "id", "left")
+        return joined.withColumns({"cluster": F.coalesce("cluster_name", F.lit("general")), "density": F.coalesce("density", F.lit(0.0))}).drop("cluster_name")
+    by: dict[str, list[str]] = {}
+    for row in known:
+        by.setdefault(row["cluster_name"], []).append(row["keyword"])
+    if not by:
+        return atoms.withColumns({"cluster": F.lit("general"), "density": F.lit(0.0)})
+    offers = []
+    for name in sorted(by, key=str.encode):
+        density = sum((F.coalesce(keyword_density(F.col("body"), F.lit(k)), F.lit(0.0)) for k in by[name]), F.lit(0.0))
+        offers.append(F.struct(F.round(density, 9).alias("r"), F.lit(-len(offers)).alias("turn"), F.lit(name).alias("name"), density.alias("density")))
+    told = atoms.withColumn("_best", F.array_max(F.array(*offers)))
+    some = F.col("_best.density") >= min_density
+    return told.withColumns({"cluster": F.when(some, F.col("_best.name")).otherwise("general"), "density": F.when(some, F.col("_best.density")).otherwise(0.0)}).drop("_best")
 
 
 def term_stats(docs: DataFrame, shard: str = "shard_key", text: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import graph, routing, search, store
-from ..operators.materialise import cut
+from ..operators.materialise import cut, spread
 from ..sources import connectors, storage
 from ..streaming import log
 from . import evaluate
@@ -40,7 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("shard_key"), F.col("lang").alias("graph"), "doc_id", F.concat_ws("/", "source", "lang").alias("title"), "text")
+    return spread(table(spark, sf_dir, "documents")).select(F.col("source").alias("shard_key"), F.col("lang").alias("graph"), "doc_id", F.concat_ws("/", "source", "lang").alias("title"), "text")
 
 
 def atoms_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +112,7 @@ def ranked(hits: DataFrame) -> DataFrame:
 
 @query(f"SELECT doc_id, chunk_index, chunk_index * 700 AS chunk_start, chunk_index * 700 + length(body) AS chunk_end, body FROM {ATOMS}")
 def chunk_atoms(spark, d):
-    return T.chunk(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", "chunk_start", "chunk_end", "body")
+    return T.chunk(spread(table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "chunk_index", "chunk_start", "chunk_end", "body")
 
 
 @query("SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1")
