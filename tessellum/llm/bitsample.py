@@ -1,18 +1,23 @@
 """Near-duplicate documents: 128-bit SimHash, grouped by random bit sampling.
 
 A document's features are its word bigrams, the first word paired with the
-start.  ``tables`` tables each sample ``bits`` coordinates of the signature;
-signatures that agree on a table's coordinates share a bucket and are compared.
+start.  Tables each sample some coordinates of the signature; signatures that
+agree on a table's coordinates share a bucket and are compared.  How many are
+sampled follows from the number of signatures, so that a bucket of unrelated ones
+holds about ``CROWD`` at any size of the corpus, and the number of tables from
+that, so that a pair at distance ``MAX_DISTANCE`` meets in one of them with
+probability 0.9 at least: 12 bits and 42 tables up to two million signatures, 18
+bits and 201 tables at 130 million.  Work grows with about the 1.33th power.
+
 A bucket is always compared whole, so no pair is dropped because its bucket is
 large; one above ``share`` signatures is divided by hash, and each pair of its
 divisions is a task's work of its own, so no task grows with the bucket (the
-comparisons, with the square of its size, do).  A pair at distance 26 shares one
-of the 40 tables' buckets with probability 0.90, one at 24 with 0.95.  Equal
-signatures are one node from the start.  Pairs within ``max_distance`` are edges; a bucket sends out a spanning
+comparisons, with the square of its size, do).  Equal signatures are one node from
+the start.  Pairs within ``max_distance`` are edges; a bucket sends out a spanning
 forest of them, never all pairs, and connected components are the groups.
 
 Defined results: a null text, or one without a word, belongs to no group and is
-kept; repeated rows (same id or not) have equal signatures and form a group; of
+kept; a text of any length is read whole; repeated rows (same id or not) have equal signatures and form a group; of
 a group the row with the least doc_id stays, nulls last, ties by text hash and
 then arbitrarily among equal rows; an empty table gives an empty result; other
 columns pass through, and working columns can't clash with them.
@@ -32,10 +37,12 @@ from .textvec import U64, binary_column, binary_rows, blocks, mix, segment_sums,
 
 BITS = 128
 MAX_DISTANCE = 26
-TABLES = 40
+#: Planned for, a little above the 0.9 that is wanted: tables share coordinates.
+RECALL = 0.91
 SAMPLED = 12
+CROWD = 512
 CAP = 4096
-#: A bucket above this many signatures is divided; into 4096 divisions at most.
+#: A bucket above this many signatures is divided; into 512 divisions at most.
 SHARE = 1 << 15
 #: Keys of dropped rows up to this many (about 10 MB) are broadcast.
 BROADCAST_ROWS = 200_000
@@ -90,6 +97,17 @@ def with_signature(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
     return chosen.mapInArrow(lean(run), schema)
 
 
+def tables_for(bits: int, distance: int = MAX_DISTANCE, recall: float = RECALL) -> int:
+    """How many tables of so many sampled bits a pair at the distance needs to meet with this probability."""
+    meet = np.prod([(BITS - distance - i) / (BITS - i) for i in range(bits)])
+    return int(np.ceil(np.log(1 - recall) / np.log1p(-meet)))
+
+
+def bits_for(signatures: int) -> int:
+    """Coordinates to sample so that a bucket of unrelated signatures holds about CROWD."""
+    return min(24, max(SAMPLED, int(np.ceil(np.log2(max(signatures, 1) / CROWD)))))
+
+
 def plan_tables(tables: int, bits: int, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
     return np.stack([rng.choice(BITS, bits, replace=False) for _ in range(tables)])
@@ -180,14 +198,15 @@ def _divisions(sigs: DataFrame, plan: np.ndarray, share: int) -> tuple[np.ndarra
     found = sigs.select("sig").mapInArrow(lean(run), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > share).toArrow()
     key, n = found.column(0).to_numpy(), found.column(1).to_numpy()
     order = np.argsort(key)
-    return key[order], np.minimum(-(-n[order] // share), 1 << 12)
+    return key[order], np.minimum(-(-n[order] // share), 1 << 9)
 
 
-def near_edges(sigs: DataFrame, max_distance: int = MAX_DISTANCE, tables: int = TABLES, bits: int = SAMPLED, cap: int = CAP, share: int = SHARE) -> DataFrame:
+def near_edges(sigs: DataFrame, max_distance: int = MAX_DISTANCE, tables: int | None = None, bits: int | None = None, cap: int = CAP, share: int = SHARE) -> DataFrame:
     """Edges (a, b) of a spanning forest of the near pairs found; sigs has distinct ``sig``."""
-    plan = plan_tables(tables, bits)
+    bits = bits or bits_for(sigs.count())
+    plan = plan_tables(tables or tables_for(bits, max_distance), bits)
     crowds, parts = _divisions(sigs, plan, share)
-    meet = 38  # a key: bits of the bucket, of the table from 32, of two divisions (12 each) from 38
+    meet = 44  # a key: bits of the bucket, of the table from 32, of two divisions (9 each) from 44
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +227,7 @@ def near_edges(sigs: DataFrame, max_distance: int = MAX_DISTANCE, tables: int =
                 for other in range(int(n.max(initial=0))):
                     use = n > other
                     low, high = np.minimum(mine[use], other), np.maximum(mine[use], other)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[hit][use] | (low << meet) | (high << meet + 12)), binary_column(some[use], 16)], names=["key", "sig"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[hit][use] | (low << meet) | (high << meet + 9)), binary_column(some[use], 16)], names=["key", "sig"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -216,7 +235,7 @@ def near_edges(sigs: DataFrame, max_distance: int = MAX_DISTANCE, tables: int =
         def flush(key: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
             side = None
             if len(crowds):
-                low, high = key >> meet & 4095, key >> meet + 12
+                low, high = key >> meet & 511, key >> meet + 9
                 side = low < high
                 _, at = find(crowds, key[side] & (1 << meet) - 1)
                 side[side] = _division(sig[side], parts[at]) == high[side]

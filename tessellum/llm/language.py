@@ -7,11 +7,15 @@ A document's hits are counted per language, freed of the expected share of
 false positives, and the language with the largest share of the document's
 n-grams is its language.
 
+A slot is as many 64-bit words wide as the number of languages asks for.
+
 Defined results: a null, empty or letterless text has no n-grams, its language
-is null and it is rejected; a tie goes to the language first in order; every
-input row gives one output row, repeated rows included, and other columns pass
-through untouched.  A table without labelled rows gives a model without
-languages, which rejects everything.
+is null and it is rejected; a text of any length is judged whole; a tie goes to
+the language first in order; every input row gives one output row, repeated rows
+included.  ``identify`` replaces columns that have a verdict's name, ``accepted``
+leaves every column as it is, whatever its name.  A table without labelled rows,
+an empty one among them, gives a model without languages, which rejects
+everything.  Repeated texts count once in the sample.
 """
 
 from __future__ import annotations
@@ -68,7 +72,7 @@ def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class LanguageModel:
-    """slots: one bit per language in each; rates: each language's false-positive rate."""
+    """slots: (words, positions), one bit per language in each position; rates: each language's false-positive rate."""
 
     languages: list[str]
     slots: np.ndarray
@@ -76,23 +80,28 @@ class LanguageModel:
     rates: np.ndarray
 
     @classmethod
-    def build(cls, per_language: dict[str, np.ndarray], positions: int = 1 << 20, hashes: int = 3) -> LanguageModel:
-        """positions must be a power of two; per_language holds packed n-grams; at most 64 languages."""
+    def build(cls, per_language: dict[str, np.ndarray], positions: int | None = None, hashes: int = 3) -> LanguageModel:
+        """per_language holds packed n-grams; positions must be a power of two, and are at least ten per n-gram of the largest language if not given."""
         languages = sorted(per_language)
-        if len(languages) > 64:
-            raise ValueError("at most 64 languages")
-        width = next(w for w in (8, 16, 32, 64) if len(languages) <= w)
-        slots = np.zeros(positions, f"u{width // 8}")
+        if positions is None:
+            most = max((len(x) for x in per_language.values()), default=0)
+            positions = 1 << min(max(20, (10 * most - 1).bit_length() if most else 0), 28)
+        width = next((w for w in (8, 16, 32) if len(languages) <= w), 64)
+        slots = np.zeros((max(1, -(-len(languages) // width)), positions), f"u{width // 8}")
         model = cls(languages, slots, hashes, np.zeros(len(languages)))
-        for bit, language in enumerate(languages):
+        rates = []
+        for i, language in enumerate(languages):
+            row, bit = slots[i // width], slots.dtype.type(1 << i % width)
+            own = np.zeros(positions, bool)
             for slot in model.probe(per_language[language].astype(np.uint32)):
-                slots[slot] |= slots.dtype.type(1 << bit)
-        fill = [np.count_nonzero((slots >> slots.dtype.type(b)) & slots.dtype.type(1)) / positions for b in range(len(languages))]
-        model.rates = np.array(fill) ** hashes if fill else np.zeros(0)
+                own[slot] = True
+            row[own] |= bit
+            rates.append((np.count_nonzero(own) / positions) ** hashes)
+        model.rates = np.array(rates)
         return model
 
     def probe(self, keys: np.ndarray) -> Iterator[np.ndarray]:
-        shift = np.uint32(32 - (len(self.slots).bit_length() - 1))
+        shift = np.uint32(32 - (self.slots.shape[1].bit_length() - 1))
         for seed in _SEEDS[: self.hashes]:
             h = keys * np.uint32(seed)
             h ^= h >> np.uint32(15)
@@ -100,23 +109,24 @@ class LanguageModel:
             yield h >> shift
 
     def masks(self, keys: np.ndarray) -> np.ndarray:
-        """For each n-gram the bitmask of all languages that contain it."""
+        """(words, n-grams): for each n-gram the bitmask of all languages that contain it."""
         with np.errstate(over="ignore"):
             found = None
             for slot in self.probe(keys):
-                found = self.slots[slot] if found is None else found & self.slots[slot]
+                found = self.slots[:, slot] if found is None else found & self.slots[:, slot]
         return found
 
     def hits(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per row: hits of each language, and the number of n-grams."""
         hit, total = np.zeros((len(column), len(self.languages)), np.int64), np.zeros(len(column), np.int64)
+        width = self.slots.dtype.itemsize * 8
         for buf, offs, rows in blocks(column):
             keys, at = grams(buf, offs)
             np.add.at(total, rows, np.diff(at))
             mask = self.masks(keys)
-            for bit in range(len(self.languages)):
-                ones = (mask >> mask.dtype.type(bit)) & mask.dtype.type(1)
-                np.add.at(hit[:, bit], rows, segment_sums(ones.astype(np.int32), at))
+            for i in range(len(self.languages)):
+                ones = (mask[i // width] >> mask.dtype.type(i % width)) & mask.dtype.type(1)
+                np.add.at(hit[:, i], rows, segment_sums(ones.astype(np.int32), at))
         return hit, total
 
     def judge(self, column: pa.Array, min_share: float, min_grams: int, languages: list[str] | None) -> dict[str, pa.Array]:
@@ -133,19 +143,16 @@ class LanguageModel:
         return {"detected": pa.array(names.tolist(), pa.string()), "share": pa.array(np.round(top, 6)), "runner_up": pa.array(np.round(rest, 6)), "n_grams": pa.array(total), "keep": pa.array(keep)}
 
 
-def train(docs: DataFrame, text: str = "text", label: str = "lang", per_language: int = 1000, min_count: int = 2, max_grams: int = 60_000, positions: int = 1 << 20, hashes: int = 3) -> LanguageModel:
-    """Fit on a bounded sample: per language the per_language labelled texts of least hash.
+def train(docs: DataFrame, text: str = "text", label: str = "lang", per_language: int = 1000, min_count: int = 2, positions: int | None = None, hashes: int = 3) -> LanguageModel:
+    """Fit on a bounded sample: per language the per_language distinct labelled texts of least hash.
 
-    An n-gram belongs to a language if it occurs min_count times in that sample
-    and is among its max_grams most frequent ones (ties by value).  The sample
-    bounds what reaches the driver; the corpus size doesn't.
+    An n-gram belongs to a language if it occurs min_count times in that sample.
+    The sample bounds what reaches the driver; the corpus size doesn't.
     """
-    known = docs.where(F.col(label).isNotNull() & (F.length(text) > 0))
-    sizes = known.groupBy(F.col(label).alias("l")).agg(F.count("*").alias("size"))
-    least = F.xxhash64(text).bitwiseAND((1 << 62) - 1)
-    rows = known.select(F.col(label).alias("l"), least.alias("h"), F.col(text).alias("t")).join(F.broadcast(sizes), "l")
-    # about twice the sample by a bound on the hash, so what is shuffled doesn't grow with the corpus
-    few = rows.where(F.col("h") < (2 * per_language + 64) / F.col("size") * float(1 << 62))
+    known = docs.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).cast("string").alias("l"), F.xxhash64(text).bitwiseAND((1 << 62) - 1).alias("h"), F.col(text).alias("t"))
+    sizes = known.groupBy("l").agg(F.approx_count_distinct("h").alias("size"))
+    # about twice the sample by a bound on the hash, so what is shuffled doesn't grow with the corpus; copies meet before the shuffle
+    few = known.join(F.broadcast(sizes), "l").where(F.col("h") < (2 * per_language + 64) / F.col("size") * float(1 << 62)).groupBy("l", "h").agg(F.min("t").alias("t"))
     picked = few.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= per_language).select("l", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +165,24 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", per_language
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(value), pa.string()), pa.array(value.astype(np.int64)), pa.array(n)], names=["l", "g", "n"])
 
     counted = picked.mapInArrow(lean(count), "l string, g bigint, n bigint").groupBy("l", "g").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    best = counted.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "g"))).where(F.col("r") <= max_grams).select("l", "g").toArrow()
-    language, gram = np.array(best.column("l").to_pylist(), dtype=object), best.column("g").to_numpy()
-    return LanguageModel.build({x: gram[language == x] for x in set(language)}, positions, hashes)
+    best = counted.select("l", "g").toArrow()
+    language, gram = best.column("l").combine_chunks().dictionary_encode(), best.column("g").to_numpy().astype(np.uint32)
+    code = language.indices.to_numpy(zero_copy_only=False)
+    return LanguageModel.build({x: gram[code == i] for i, x in enumerate(language.dictionary.to_pylist())}, positions, hashes)
+
+
+def accepted(docs: DataFrame, model: LanguageModel, text: str = "text", min_share: float = 0.5, min_grams: int = 1, languages: list[str] | None = None) -> DataFrame:
+    """The rows of docs whose language is recognised (``keep`` of ``identify``), with docs' own columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]
+    at = names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(shared.value.judge(batch.column(at), min_share, min_grams, languages)["keep"])
+
+    return docs.toDF(*inner).mapInArrow(lean(run), ", ".join(f"{c} {kind}" for c, (_, kind) in zip(inner, docs.dtypes))).toDF(*names)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", min_share: float = 0.5, min_grams: int = 1, languages: list[str] | None = None) -> DataFrame:

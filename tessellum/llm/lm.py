@@ -3,19 +3,22 @@
 Both models share one vocabulary, the words of all documents, and one smoothing:
 p(w | v) = (c(v, w) + mu / V) / (c(v) + mu).  The target's counts come from the
 target documents, the background's from all documents; background counts are
-scaled to the target's number of tokens, so that the two are matched.  A
-document's own token is left out of either model's counts where it was counted.
-The score is the mean over tokens of target loss minus background loss; low is
-target-like.
+scaled to the target's number of tokens, so that the two are matched.  A document
+is left out of either model's counts where it was counted, with all that it says,
+so that it is scored by what others say.  The score is the mean over tokens of
+target loss minus background loss; low is target-like.
 
 Counts grow with the corpus and are never gathered in one place.  Documents are
 read in blocks; a block sends each bucket its distinct pairs and words with
 their counts, as one compressed row, the bucket adds up and sends the totals
-back in the same order.  Rows shuffled per word pair are a few bytes.
-
-Defined results: a null or wordless text has no tokens and null losses; repeated
-rows count each, and each has its score; a table without target documents gives
-target losses of ln V; an empty table gives an empty result.
+back in the same order.  Rows shuffled per word pair are a few bytes.  There are
+as many buckets as hold ``BUCKET_BYTES`` each, whatever the corpus.
+
+Defined results: a null or wordless text has no tokens and null losses; a text of
+any length is scored whole; there are no ties to break; repeated rows count each,
+and each has its score; a table without target documents gives target losses of
+ln V; an empty table gives an empty result; ids may be of any type; columns but
+the id and the text aren't read.
 """
 
 from __future__ import annotations
@@ -29,11 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_KEYS, lean, member, tasks, written
+from .shared import BROADCAST_KEYS, arrow_type, lean, member, tasks, written
 from .textvec import U64, blocks, mix, word_hashes
 
 MU = 1.0
 BLOCK_BYTES = 4 << 20
+#: About what a bucket's requests come to in compressed form; they are some 3.5 times the text.
+BUCKET_BYTES = 16 << 20
+REQUESTS = 3.5
 START = U64(1)
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
@@ -182,20 +188,23 @@ def _add_up(batches: Iterator[pa.RecordBatch], buckets: int, names: list[str]) -
 def score(docs: DataFrame, target: DataFrame, text: str = "text", doc_id: str = "doc_id", mu: float = MU, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, loss_target, loss_background, difference) of every row of docs.
 
-    target: one column, the ids (BIGINT) of the target documents.  Up to
-    BROADCAST_KEYS of them are broadcast, more are joined.
+    target: one column, the ids of the target documents, of the same type as
+    docs' ids.  Up to BROADCAST_KEYS of them are broadcast, more are joined.
     """
     kind = dict(docs.dtypes)[doc_id]
-    ids = target.toDF("id").where("id IS NOT NULL").distinct()
-    found = ids.limit(BROADCAST_KEYS + 1).toArrow().column(0).to_numpy()
+    id_type = arrow_type(kind)
+    ids = target.toDF("id").select(F.col("id").cast(kind).alias("id")).where("id IS NOT NULL").distinct()
     given = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
+    few = ids.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     shared = None
-    if len(found) <= BROADCAST_KEYS:
-        shared = docs.sparkSession.sparkContext.broadcast(np.sort(found.astype(np.int64)))
+    if few and kind in ("bigint", "int", "smallint", "tinyint"):
+        shared = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column(0).to_numpy().astype(np.int64)))
         given = given.withColumn("w", F.lit(False))
     else:
-        given = given.join(ids.withColumn("w", F.lit(True)), F.col("d") == F.col("id"), "left").select("d", "t", F.coalesce("w", F.lit(False)).alias("w"))
-    buckets = 2 * tasks(docs)
+        marked = ids.withColumn("w", F.lit(True))
+        given = given.join(F.broadcast(marked) if few else marked, F.col("d") == F.col("id"), "left").select("d", "t", F.coalesce("w", F.lit(False)).alias("w"))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(2 * tasks(docs), int(REQUESTS * size) // BUCKET_BYTES)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -238,15 +247,18 @@ def score(docs: DataFrame, target: DataFrame, text: str = "text", doc_id: str =
             context = expand(head[6], np.int32)[place] if len(place) else place
             n = {k: [np.concatenate([expand(r[c], np.int64) for r in rest if (r[1] >= buckets) == k] or [np.zeros(0, np.int64)]) for c in (5, 6)] for k in (False, True)}
             own = np.repeat(flags, lens)
+            # what the document itself says: its tokens of this pair, and its tokens after this context
+            row = np.repeat(np.arange(len(lens)), lens)
+            says = [_times(row, x) for x in (place, context)]
             lost = []
-            for c, left_out, scale in ((1, own.astype(np.int64), 1.0), (0, np.ones(len(place), np.int64), ratio)):
-                top, bottom = n[False][c][place] - left_out, n[True][c][context] - left_out
+            for c, counts_own, scale in ((1, own.astype(np.int64), 1.0), (0, np.ones(len(place), np.int64), ratio)):
+                top, bottom = n[False][c][place] - counts_own * says[0], n[True][c][context] - counts_own * says[1]
                 lost.append(np.log(scale * bottom + mu) - np.log(scale * top + mu / max(words, 1)))
             at = np.append(0, np.cumsum(lens))
             mean = [np.add.reduceat(np.append(x, 0), np.minimum(at[:-1], len(x)))[: len(lens)] / np.maximum(lens, 1) for x in lost]
             none = lens == 0
             cols = [pa.array(np.round(x, 9), mask=none) for x in (mean[0], mean[1], mean[0] - mean[1])]
-            return pa.RecordBatch.from_arrays([pa.array(docs_, _kind(kind)), pa.array(lens), *cols], names=["doc_id", "n_tokens", "loss_target", "loss_background", "difference"])
+            return pa.RecordBatch.from_arrays([pa.array(docs_, id_type), pa.array(lens), *cols], names=["doc_id", "n_tokens", "loss_target", "loss_background", "difference"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -261,8 +273,10 @@ def score(docs: DataFrame, target: DataFrame, text: str = "text", doc_id: str =
     return together.mapInArrow(lean(answer), f"doc_id {kind}, n_tokens bigint, loss_target double, loss_background double, difference double")
 
 
-def _kind(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+def _times(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For each place how often its (row, key) occurs."""
+    _, at, n = np.unique((row << 32) + key, return_inverse=True, return_counts=True)
+    return n[at]
 
 
 def oracle() -> str:
@@ -270,10 +284,11 @@ def oracle() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\\x00-\\x7F])+') AS words, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS t FROM documents),
 e AS (SELECT uid, t, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
-p AS (SELECT uid, t, w, coalesce(lag(w) OVER (PARTITION BY uid ORDER BY i), '<s>') AS v FROM e),
+q AS (SELECT uid, t, w, coalesce(lag(w) OVER (PARTITION BY uid ORDER BY i), '<s>') AS v FROM e),
+p AS (SELECT *, count(*) OVER (PARTITION BY uid, v, w) AS ow, count(*) OVER (PARTITION BY uid, v) AS ov FROM q),
 n AS (SELECT v, w, count(*) AS cb, count(*) FILTER (WHERE t) AS ct FROM p GROUP BY ALL),
 c AS (SELECT v, sum(cb) AS nb, sum(ct) AS nt FROM n GROUP BY v),
 g AS (SELECT (SELECT count(DISTINCT w) FROM e) AS size, (SELECT count(*) FILTER (WHERE t) / count(*)::DOUBLE FROM e) AS r),
-s AS (SELECT uid, avg(ln(nt - t::INT + {MU}) - ln(ct - t::INT + {MU} / size)) AS lt, avg(ln(r * (nb - 1) + {MU}) - ln(r * (cb - 1) + {MU} / size)) AS lb
+s AS (SELECT uid, avg(ln(nt - t::INT * ov + {MU}) - ln(ct - t::INT * ow + {MU} / size)) AS lt, avg(ln(r * (nb - ov) + {MU}) - ln(r * (cb - ow) + {MU} / size)) AS lb
   FROM p JOIN n USING (v, w) JOIN c USING (v) CROSS JOIN g GROUP BY uid)
 SELECT doc_id, len(words)::BIGINT AS n_tokens, round(lt, 4) AS loss_target, round(lb, 4) AS loss_background, round(lt - lb, 4) AS difference FROM d LEFT JOIN s USING (uid)"""

@@ -17,9 +17,11 @@ most words in order both pass; shared vocabulary alone doesn't.  A text that is
 read in parts is searched across their seams.
 
 Defined results: null and empty texts are in no leak; an item with fewer than
-``MIN_WORDS`` words is not looked for; repeated rows each have their own
-leaks; ties don't matter, since every candidate is checked; empty tables give an
-empty result.  The benchmark is broadcast up to ``ITEMS`` windows of items, and beyond
+``MIN_WORDS`` words is not looked for; texts and items of any length are searched
+whole; repeated rows each have their own leaks; ties don't matter, since every
+candidate is checked; empty tables give an empty result; only the named columns
+are read, and ``decontaminate`` passes all columns through, whatever their names.
+The benchmark is broadcast up to ``ITEMS`` windows of items, and beyond
 that processed in as many rounds as needed.
 """
 
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean, tasks
+from .shared import arrow_type, find, lean, tasks
 from .textvec import U64, blocks, mix, word_hashes, word_spans
 
 FEATURES = 1 << 14
@@ -46,6 +48,8 @@ VERBATIM = 0.8
 PARAPHRASE = 0.55
 ANSWER = 0.8
 ITEMS = 50_000
+#: Cosines that a worker computes at once (32 MB), and cells of the table of items and words (20 MB), beyond which it is a sorted list.
+SIMILARITIES, TABLE_CELLS = 1 << 23, 20_000_000
 _SKETCH_ROWS_EACH = 2
 
 
@@ -161,11 +165,18 @@ class Items:
         self.answer_masks = [_masks(w) for w in self.answers]
         # for the bound: words of items as sorted keys with the items that have them
         self.known = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, U64)
-        self.counts = np.zeros((len(self.words), len(self.known)), np.uint8) if len(self.words) * len(self.known) < 2e8 else None
-        if self.counts is not None:
-            for i, w in enumerate(self.words):
-                k, n = np.unique(np.searchsorted(self.known, w), return_counts=True)
-                self.counts[i, k] = np.minimum(n, 255)
+        held = [np.unique(np.searchsorted(self.known, w)) for w in self.words]
+        self.table = np.zeros((len(self.words), len(self.known) + 1), bool) if len(self.words) * len(self.known) < TABLE_CELLS else None
+        if self.table is not None:
+            for i, k in enumerate(held):
+                self.table[i, k] = True
+        self.pairs = np.concatenate([(i << 32) + k for i, k in enumerate(held)]) if held and self.table is None else np.zeros(0, np.int64)
+
+    def has(self, item: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Whether each item has the known word; -1 is none."""
+        if self.table is not None:
+            return self.table[item, word]
+        return find(self.pairs, (item << 32) + word)[0] & (word >= 0)
 
 
 def _masks(words: np.ndarray) -> dict[int, int]:
@@ -225,7 +236,7 @@ def _leaks(column: pa.Array, items: Items, projection: np.ndarray, cosine: float
         known = np.minimum(np.searchsorted(items.known, h), len(items.known) - 1)
         known[items.known[known] != h] = -1
         ends = at[1:][part]
-        slice_ = max(1, min(8192, (1 << 26) // len(items.vectors)))
+        slice_ = max(1, min(8192, SIMILARITIES // len(items.vectors)))
         for a in range(0, n, slice_):
             w, v = np.nonzero(joined[a : a + slice_] @ items.vectors.T >= cosine)
             w += a
@@ -235,14 +246,13 @@ def _leaks(column: pa.Array, items: Items, projection: np.ndarray, cosine: float
             lo = np.clip(start - items.margins[i], at[:-1][part[w]], ends[w])
             hi = np.clip(start + np.maximum(items.lengths[i], 2 * STEP) + items.margins[i], lo, ends[w])
             # words of the item that the passage has bound its longest common subsequence from above
-            if items.counts is not None and len(w):
+            if len(w):
                 longest = np.argsort(lo - hi, kind="stable")
                 w, i, lo, hi = w[longest], i[longest], lo[longest], hi[longest]
                 bound = np.zeros(len(w), np.int64)
                 open_ = np.searchsorted(lo - hi, -np.arange(int(hi[0] - lo[0])), "left")
                 for step, m in enumerate(open_):
-                    k = known[lo[:m] + step]
-                    bound[:m] += (k >= 0) & (items.counts[i[:m], np.maximum(k, 0)] > 0)
+                    bound[:m] += items.has(i[:m], known[lo[:m] + step])
                 use = bound >= np.ceil(paraphrase * items.lengths)[i]
                 w, i, lo, hi = w[use], i[use], lo[use], hi[use]
             for j, a_, b_, p in zip(i.tolist(), lo.tolist(), hi.tolist(), part[w].tolist()):
@@ -262,6 +272,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
     spark = docs.sparkSession
     out = None
     kinds = dict(docs.dtypes)[doc_id], dict(benchmark.dtypes)[item_id]
+    item_type = arrow_type(kinds[1])
     for shared, projection in _rounds(docs, benchmark, text, item_id, item_text, rank, min_words):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, projection=projection) -> Iterator[pa.RecordBatch]:
@@ -269,17 +280,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
             for batch in batches:
                 found = _leaks(batch.column(1), items, matrix, cosine, verbatim, paraphrase, answer)
                 rows, which = [r for r, _ in found], [items.ids[j] for _, j in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(which, type=_arrow(kinds[1])), pa.array([round(s, 6) for s, _ in found.values()], pa.float64()), pa.array([round(r, 6) for _, r in found.values()], pa.float64())], names=["doc_id", "item_id", "overlap", "answer_overlap"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(which, type=item_type), pa.array([round(s, 6) for s, _ in found.values()], pa.float64()), pa.array([round(r, 6) for _, r in found.values()], pa.float64())], names=["doc_id", "item_id", "overlap", "answer_overlap"])
 
         part = docs.select(doc_id, text).mapInArrow(lean(run), f"doc_id {kinds[0]}, item_id {kinds[1]}, overlap double, answer_overlap double")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, overlap double, answer_overlap double")
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def _rounds(docs, benchmark, text, item_id, item_text, rank, min_words):
     """Broadcast (items, projection) pairs: one for a benchmark of up to ITEMS windows, more beyond that."""
     context = docs.sparkSession.sparkContext

@@ -13,7 +13,8 @@ its own, and a remainder that is packed like a document.
 
 Defined results: null and empty texts have no tokens and give no row; rows of
 equal length are told apart by the order in which they are read; repeated rows
-are packed each; an empty table gives an empty result; a token is a word or a
+are packed each; an empty table gives an empty result; columns but the id and the
+text aren't read, whatever their names; a token is a word or a
 single mark that is neither a word nor white space, unless ``tokenizer`` names a
 vocabulary file (byte_bpe_*.json) whose tokens are counted instead.
 """

@@ -1,18 +1,20 @@
 """Document quality by hierarchical empirical Bayes.
 
-A logistic classifier on surface statistics, fitted on a bounded sample of
-labelled rows, gives each document evidence p.  Hosts and paths under hosts get
-Beta posteriors of that evidence: a path is shrunk toward its host and a host
-toward the global mean, with prior strengths estimated from the spread between
-sites beyond what their sizes explain (method of moments).  A document's final
-odds are its own, moved by how far its path's posterior, without the document
-itself, lies from the global mean.
-
-Defined results: a null or empty text has the statistics of an empty text and
-is judged by them; a null host or path is a site of its own; without both
-labels in the sample the evidence is 0.5 for all; repeated rows count each; an
-empty table gives an empty result; clashing columns don't matter, since only
-the named ones are read.
+A logistic classifier on hashed words and surface statistics, fitted on a bounded
+sample of labelled rows, gives each document evidence p.  Hosts and paths under
+hosts get Beta posteriors of that evidence: a path is shrunk toward its host and a
+host toward the global mean, with prior strengths estimated from the spread
+between sites beyond what their sizes explain (method of moments).  A document's
+final odds are its own, moved by how far its path's posterior, without the
+document itself, lies from the global mean.  Host and path are columns, or come
+from a column of URLs (``site_of``).
+
+Defined results: a null or empty text has the statistics of an empty text and no
+words, and is judged by them; a text of any length is read whole; there are no
+ties to break, quality at the threshold is kept; a null host or path is a site of
+its own; without both labels in the sample the evidence is 0.5 for all; repeated
+rows count each; an empty table gives an empty result; clashing columns don't
+matter, since only the named ones are read.
 """
 
 from __future__ import annotations
@@ -22,14 +24,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linear import fit_dense, sigmoid
+from .linear import fit_sparse, sigmoid, sparse_dot
 from .shared import lean, written
-from .textvec import WORD_BYTE, blocks, segment_sums
+from .textvec import U64, WORD_BYTE, blocks, segment_sums, word_hashes
 
 MAX_LABELLED = 20_000
+HASHED = 1 << 16
+RIDGE = 20.0
 SITE_WEIGHT = 0.5
 KEEP = 0.5
 _CLASS = np.zeros(256, np.uint8)  # 1 letter, 2 digit, 3 space, 4 sentence mark, 5 other mark
@@ -60,17 +65,33 @@ def statistics(column: pa.Array) -> np.ndarray:
     return np.column_stack([letters / size, digits / size, marks / w, runs / w, stops / w, np.log1p(letters / w), np.log1p(words), np.log1p(w / (breaks + 1)), spaces / size])
 
 
+def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, bucket, value): each row's hashed words, ln(1 + tf) / ln(1 + words)."""
+    n = len(column)
+    total, seen = np.zeros(n, np.int64), []
+    for buf, offs, rows in blocks(column):
+        h, at = word_hashes(buf, offs)
+        np.add.at(total, rows, np.diff(at))
+        seen.append(np.repeat(rows, np.diff(at)) * HASHED + (h >> U64(64 - HASHED.bit_length() + 1)).astype(np.int64))
+    code, tf = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.int64), return_counts=True)
+    row = code // HASHED
+    return np.searchsorted(row, np.arange(n + 1)), code % HASHED, np.log1p(tf) / np.log1p(np.maximum(total, 2))[row]
+
+
 @dataclass
 class Evidence:
+    """weights: of the hashed words, then of the statistics, then the intercept."""
+
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
 
     def of(self, column: pa.Array) -> np.ndarray:
-        return np.clip(sigmoid(((statistics(column) - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]), 0.001, 0.999)
+        logit = ((statistics(column) - self.mean) / self.scale) @ self.weights[HASHED:-1] + self.weights[-1] + sparse_dot(*words(column), self.weights)
+        return np.clip(sigmoid(logit), 0.001, 0.999)
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", max_labelled: int = MAX_LABELLED) -> Evidence:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", max_labelled: int = MAX_LABELLED, ridge: float = RIDGE) -> Evidence:
     marks = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.min(label).cast("int").alias("y"))
     sample = marks.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     known = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(sample), "id").select("t", "y")
@@ -78,15 +99,36 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = statistics(batch.column(0))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1)], names=[*(f"x{i}" for i in range(N_FEATURES)), "y"])
+            at, place, value = words(batch.column(0))
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), a) for a in (pa.array(place, pa.int32()), pa.array(value, pa.float32()))]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1), *lists], names=[*(f"x{i}" for i in range(N_FEATURES)), "y", "place", "value"])
 
-    got = known.mapInArrow(lean(run), ", ".join(f"x{i} double" for i in range(N_FEATURES)) + ", y int").toArrow()
+    got = known.mapInArrow(lean(run), ", ".join(f"x{i} double" for i in range(N_FEATURES)) + ", y int, place array<int>, value array<float>").toArrow()
     y = got.column("y").to_numpy().astype(float)
+    nothing = Evidence(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(HASHED + N_FEATURES + 1))
     if not len(y) or y.min() == y.max():
-        return Evidence(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1))
+        return nothing
     x = np.column_stack([got.column(i).to_numpy() for i in range(N_FEATURES)])
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    return Evidence(mean, scale, fit_dense((x - mean) / scale, y))
+    place, value = (got.column(c).combine_chunks() for c in ("place", "value"))
+    sizes = pa.compute.list_value_length(place).to_numpy(zero_copy_only=False).astype(np.int64)
+    # one sparse row each: the words, then the statistics, which are dense
+    at = np.append(0, np.cumsum(sizes + N_FEATURES))
+    dense = (at[1:, None] - N_FEATURES + np.arange(N_FEATURES)).ravel()
+    index, data = np.zeros(at[-1], np.int64), np.zeros(at[-1])
+    index[dense], data[dense] = np.tile(HASHED + np.arange(N_FEATURES), len(y)), ((x - mean) / scale).ravel()
+    rest = np.ones(at[-1], bool)
+    rest[dense] = False
+    index[rest], data[rest] = place.flatten().to_numpy(zero_copy_only=False), value.flatten().to_numpy(zero_copy_only=False)
+    w, b = fit_sparse((at, index, data), y, HASHED + N_FEATURES, ridge, steps=120)
+    return Evidence(mean, scale, np.append(w, b))
+
+
+def site_of(url: Column) -> tuple[Column, Column]:
+    """Host and first directory of a URL, without case and without a leading www; null where there is none."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)/", 1)
+    return F.when(host != "", F.regexp_replace(host, r"^www\.", "")), F.when(host != "", F.concat(F.lit("/"), path))
 
 
 def posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
@@ -111,17 +153,18 @@ def posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     return placed.withColumn("strength", F.lit(strength(placed, "prior"))), mean
 
 
-def assess(docs: DataFrame, evidence: Evidence, text: str = "text", doc_id: str = "doc_id", host: str = "source", path: str = "lang", site_weight: float = SITE_WEIGHT, keep: float = KEEP) -> DataFrame:
-    """(doc_id, evidence, site, quality, keep) of every row; no text is shuffled."""
+def assess(docs: DataFrame, evidence: Evidence, text: str = "text", doc_id: str = "doc_id", host: str = "source", path: str = "lang", url: str | None = None, site_weight: float = SITE_WEIGHT, keep: float = KEEP) -> DataFrame:
+    """(doc_id, evidence, site, quality, keep) of every row; no text is shuffled.  Host and path are the columns of these names, or from ``url``."""
     shared = docs.sparkSession.sparkContext.broadcast(evidence)
-    kinds = dict(docs.dtypes)
+    where = site_of(F.col(url)) if url else (F.col(host), F.col(path))
+    chosen = docs.select(F.col(text).alias("t"), F.col(doc_id).alias("doc_id"), where[0].alias("host"), where[1].alias("path"))
+    kinds = dict(chosen.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(shared.value.of(batch.column(0)))], names=["doc_id", "host", "path", "p"])
 
-    chosen = docs.select(F.col(text).alias("t"), F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(path).alias("path"))
-    scored = written(chosen.mapInArrow(lean(run), f"doc_id {kinds[doc_id]}, host {kinds[host]}, path {kinds[path]}, p double"))
+    scored = written(chosen.mapInArrow(lean(run), f"doc_id {kinds['doc_id']}, host {kinds['host']}, path {kinds['path']}, p double"))
     sites, mean = posteriors(scored)
     s = written(sites.select(F.col("host").alias("h"), F.col("path").alias("q"), "n", "total", "prior", "strength"))
     joined = scored.join(s, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))

@@ -14,8 +14,9 @@ owner, repository), so a value that is everywhere is no hot key.
 Defined results: null and empty texts have no findings; a null owner or
 repository counts as one unknown owner or repository; the same value several
 times in a document is one finding with its ``times``; repeated rows of a document
-count as one document but add to ``times``; an empty table gives an empty
-result; other columns aren't read.
+count as one document but add to ``times``; a text of any length is scanned whole;
+there are no ties to break; an empty table gives an empty result; other columns
+aren't read, whatever their names.
 """
 
 from __future__ import annotations

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
+
+from ..operators.materialise import cut, scratch, shared_folder, spread, written  # noqa: F401
 
 #: Sets of at most this many 64-bit keys (8 MB) are sent to every worker; larger ones are joined.
 BROADCAST_KEYS = 1_000_000
@@ -19,26 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessellum-"))
-    return folder or context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df as a compressed Parquet table in the shared folder: for the larger intermediates."""
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def arrow_type(kind: str) -> pa.DataType:
+    """The Arrow type of a column of the Spark type that ``DataFrame.dtypes`` names."""
+    return to_arrow_type(_parse_datatype_string(kind))
 
 
 def tasks(df: DataFrame) -> int:

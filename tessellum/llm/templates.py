@@ -8,15 +8,22 @@ positions join it, the positions that differ becoming variables; then the next
 line, and so on.  A template that recurs in ``min_docs`` documents is
 boilerplate, and its lines are dropped everywhere.
 
-Documents that consist for the most part of recurring lines don't count as
-carriers of a template: they are copies of one another, which is a matter of
-document deduplication, and a set of copies doesn't turn its own prose into
-boilerplate.
-
-Defined results: null and empty texts stay as they are; blank lines stay; a
-document that would lose all its lines keeps its text; repeated rows count as
-documents each; an empty table gives an empty result; a column of docs that is
-called ``n_dropped`` is replaced, others pass through.
+Copies of a document are a matter of document deduplication: their prose recurs
+too and isn't boilerplate.  A document of which recurring lines are at most half
+carries its templates by itself.  Of documents that are mostly recurring lines,
+the groups of near duplicates (the SimHash groups of ``bitsample``) are counted,
+one carrier each, so a footer counts on pages shorter than itself; and they count
+only for a template whose such documents form at least ``KIN`` groups each, so
+that a set of copies whose most edited members are in no group doesn't drop its
+own prose.
+
+Defined results: null and empty texts stay as they are; blank lines stay; a line
+is held whole, however long, a text of any length is processed whole; of equally
+frequent lines the one of the lesser hash is the first seed; a document that
+would lose all its lines keeps its text; repeated rows count as documents each
+but are one group; an empty table gives an empty result.  ``drop_lines`` replaces
+a column of docs that is called like its count, ``n_dropped``, unless ``counted``
+is None, which leaves it out; other columns pass through.
 """
 
 from __future__ import annotations
@@ -28,12 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import find, KeyTable, lean, tasks, written
+from .bitsample import near_edges, signatures
+from .shared import KeyTable, connected, cut, find, lean, tasks, written
 from .textvec import U64, binary_column, blocks, mix, segment_sums
 
 LEADING = 4
 MIN_DOCS = 10
 SIMILARITY = 0.7
+KIN = 0.2
+#: Leaves of up to this many lines are grown as a matrix, larger ones line by line through an index of their seeds.
+MATRIX_LINES = 2048
 STAR = U64(0x2A2A2A2A2A2A2A2A)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -150,37 +161,84 @@ def grow(tokens: np.ndarray, similarity: float) -> np.ndarray:
     return seed
 
 
+class Leaf:
+    """The seeds of a large leaf; lines come in order, and only the seeds are held.
+
+    Lines of ``n`` tokens that agree in ``similarity`` of them differ in at most d
+    places.  Cut into d + 1 pieces, they have a piece in common, so a line's first
+    similar seed is among the seeds that share a piece with it.
+    """
+
+    def __init__(self, n: int, similarity: float):
+        self.n, self.similarity = n, similarity
+        most = max(d for d in range(n) if d == 0 or (n - d) / n >= similarity)
+        self.cuts = np.unique(np.linspace(min(LEADING, n - 1), n, most + 2).astype(np.int64))
+        self.loose = len(self.cuts) < most + 2  # fewer places than pieces: every line of the leaf is similar to its first
+        self.seeds = np.zeros((64, n), U64)
+        self.lines: list[int] = []
+        self.pieces: list[dict[int, list[int]]] = [{} for _ in self.cuts[1:]]
+
+    def assign(self, tokens: np.ndarray, lines: np.ndarray) -> np.ndarray:
+        """The seeding line of each line's template."""
+        out = np.empty_like(lines)
+        place = np.arange(self.n, dtype=np.int64).astype(U64) * U64(0x9E3779B97F4A7C15)
+        with np.errstate(over="ignore"):
+            hashed = mix(tokens + place)
+            keys = np.stack([hashed[:, a:b].sum(axis=1, dtype=U64) for a, b in zip(self.cuts, self.cuts[1:])], axis=1).tolist()
+        for i, (row, key) in enumerate(zip(tokens, keys)):
+            near = range(len(self.lines)) if self.loose else sorted({s for held, k in zip(self.pieces, key) for s in held.get(k, ())})
+            hit = np.flatnonzero((self.seeds[list(near)] == row).mean(axis=1) >= self.similarity) if len(near) else ()
+            if len(hit):
+                out[i] = self.lines[near[hit[0]]]
+                continue
+            if len(self.lines) == len(self.seeds):
+                self.seeds = np.concatenate([self.seeds, np.zeros_like(self.seeds)])
+            self.seeds[len(self.lines)] = row
+            for held, k in zip(self.pieces, key):
+                held.setdefault(k, []).append(len(self.lines))
+            self.lines.append(int(lines[i]))
+            out[i] = lines[i]
+        return out
+
+
 def generalised(docs: DataFrame, text: str, counts: DataFrame, min_docs: int, similarity: float) -> DataFrame:
     """(line, template) for lines whose leaf has several lines and enough documents."""
     leaves = counts.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("kinds")).where((F.col("docs") >= min_docs) & (F.col("kinds") > 1)).select("leaf")
     vectors = _vectors(docs, text, leaves).join(counts, ["leaf", "line"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(rows: pa.Table) -> pa.RecordBatch:
-            leaf, line = rows.column("leaf").to_numpy(), rows.column("line").to_numpy()
-            tokens = rows.column("tokens").to_pylist()
-            template = np.empty_like(line)
-            cut = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
-            for a, b in zip(cut, np.append(cut[1:], len(leaf))):
-                matrix = np.frombuffer(b"".join(tokens[a:b]), U64).reshape(b - a, -1)
-                template[a:b] = line[a + grow(matrix, similarity)]
+        small: list[pa.RecordBatch] = []  # the start of a leaf that may still be a small one
+        name, large = None, None
+
+        def matrix_of(rows: pa.RecordBatch) -> np.ndarray:
+            return np.frombuffer(b"".join(rows.column(2).to_pylist()), U64).reshape(rows.num_rows, -1)
+
+        def told(line: np.ndarray, template: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(line), pa.array(template)], names=["line", "template"])
 
+        def end() -> Iterator[pa.RecordBatch]:
+            for rows in pa.Table.from_batches(small).combine_chunks().to_batches() if small else ():
+                line = rows.column(1).to_numpy()
+                yield told(line, line[grow(matrix_of(rows), similarity)])
+            small.clear()
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            last = batch.column(0)[-1].as_py()
-            if held[0].column(0)[0].as_py() == last:
-                continue
-            rows = pa.Table.from_batches(held)
-            tail = int(np.searchsorted(rows.column(0).to_numpy(), last))
-            yield flush(rows.slice(0, tail))
-            held = rows.slice(tail).to_batches()
-        if held:
-            yield flush(pa.Table.from_batches(held))
+            leaf = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])) if len(leaf) else ()
+            for a, b in zip(cuts, [*cuts[1:], len(leaf)]):
+                if leaf[a] != name:
+                    yield from end()
+                    name, large = leaf[a], None
+                part = batch.slice(a, b - a)
+                if large is None and sum(x.num_rows for x in small) + part.num_rows <= MATRIX_LINES:
+                    small.append(part)
+                    continue
+                for rows in [*small, part]:
+                    matrix, line = matrix_of(rows), rows.column(1).to_numpy()
+                    large = large or Leaf(matrix.shape[1], similarity)
+                    yield told(line, large.assign(matrix, line))
+                small.clear()
+        yield from end()
 
     placed = vectors.repartition(tasks(docs), "leaf").sortWithinPartitions("leaf", F.desc("n"), "line").select("leaf", "line", "tokens")
     return written(placed.mapInArrow(lean(run), "line bigint, template bigint"))
@@ -188,6 +246,7 @@ def generalised(docs: DataFrame, text: str, counts: DataFrame, min_docs: int, si
 
 def boilerplate(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """(line, template) of the lines to drop."""
+    docs, text = docs.select(F.col(text).alias("t")), "t"
     counts = line_counts(docs, text)
     merged = generalised(docs, text, counts, min_docs, similarity)
     named = counts.join(merged, "line", "left").select("line", "n", F.coalesce("template", "line").alias("template"))
@@ -209,22 +268,32 @@ def boilerplate(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, s
                 who.append(rows[x.part[hit]]), what.append(values[at[hit]])
             if not who:
                 continue
-            who, what = np.concatenate(who), np.concatenate(what)
-            use = (2 * common <= total)[who]
-            pairs = np.unique(np.stack([who[use], what[use]]), axis=1)
-            template, times = np.unique(pairs[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(template), pa.array(times)], names=["template", "n"])
-
-    seen = table.attach(docs.select(text), [text], _keys).mapInArrow(lean(run), "template bigint, n bigint")
-    carried = seen.groupBy("template").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("template")
-    return written(recurring.join(carried, "template").select("line", "template"))
-
-
-
-def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with the boilerplate lines cut out of the text column, and n_dropped, how many were."""
+            who, what = np.unique(np.stack([np.concatenate(who), np.concatenate(what)]), axis=1)
+            own = (2 * common <= total)[who]
+            template, times = np.unique(what[own], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(template), pa.nulls(len(template), pa.binary()), pa.array(times)], names=["template", "sig", "n"])
+            few, place = np.unique(who[~own], return_inverse=True)
+            if len(few):
+                sig, _ = signatures(batch.column(0).take(pa.array(few)))
+                yield pa.RecordBatch.from_arrays([pa.array(what[~own]), binary_column(sig[place], 16), pa.array(np.ones(len(place), np.int64))], names=["template", "sig", "n"])
+
+    seen = table.attach(docs, [text], _keys).mapInArrow(lean(run), "template bigint, sig binary, n bigint")
+    seen = written(seen.groupBy("template", "sig").agg(F.sum("n").alias("n")))
+    carried = seen.where("sig IS NULL").select("template", "n")
+    copies = seen.where("sig IS NOT NULL")
+    if copies.limit(1).count():
+        linked = connected(near_edges(cut(copies.select("sig").distinct())))
+        rooted = copies.join(linked.toDF("sig", "root"), "sig", "left").groupBy("template", F.coalesce("root", "sig").alias("root")).agg(F.sum("n").alias("n"))
+        groups = rooted.groupBy("template").agg(F.count("*").alias("groups"), F.sum("n").alias("docs"))
+        carried = carried.unionByName(groups.where(F.col("groups") >= KIN * F.col("docs")).select("template", F.col("groups").alias("n")))
+    enough = carried.groupBy("template").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("template")
+    return written(recurring.join(enough, "template").select("line", "template"))
+
+
+def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, counted: str | None = "n_dropped") -> DataFrame:
+    """docs with the boilerplate lines cut out of the text column, and ``counted``, how many were."""
     table = KeyTable(boilerplate(docs, text, min_docs, similarity))
-    rest = docs.drop("n_dropped") if text != "n_dropped" else docs
+    rest = docs.drop(counted) if counted and counted != text else docs
     at = rest.columns.index(text)
     inner = [f"c{i}" for i in range(len(rest.columns))]
 
@@ -264,4 +333,5 @@ def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, si
 
     schema = ", ".join(f"{c} {kind}" for c, (_, kind) in zip(inner, rest.dtypes))
     given = table.attach(rest.toDF(*inner), [*inner[:at], *inner[at + 1 :], inner[at]], _keys)
-    return given.mapInArrow(lean(run), f"{schema}, n_dropped bigint").toDF(*rest.columns, "n_dropped")
+    out = given.mapInArrow(lean(run), f"{schema}, n_dropped bigint")
+    return out.toDF(*rest.columns, counted) if counted else out.drop("n_dropped").toDF(*rest.columns)

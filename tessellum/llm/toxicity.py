@@ -2,28 +2,33 @@
 
 Features are words and their prefixes of 4 to 8 bytes (so that inflected forms
 share evidence), valued ln(1 + tf) / ln(1 + words).  The classifier keeps the
-features most associated with either label, and the identity terms always.  In
-every labelled sentence with an identity term the term is swapped for each other
-term of its group, and the squared change of the score is part of the loss; so
-is the change from each term alone to no term, so that a bare mention scores
-nothing.
+features that ``min_docs`` labelled documents have and that are associated with
+either label (a log odds ratio of two standard errors), and the identity terms
+always.  Every labelled sentence with an identity term is written again with the
+term, wherever it stands in it, swapped for each other term of its group; both
+are scored and the squared change of the score is part of the loss.  So is the
+change from each term alone to no term, so that a bare mention scores nothing.
 
 The labelled sample is bounded by ``max_labelled`` rows, those of least hash of
 their id; scoring covers all documents in one pass without a shuffle.
 
-Defined results: a null or wordless text has score 0 and isn't toxic; labels
-that are null are ignored, several for one id count as toxic if one is; without
-both labels in the sample every score is 0; repeated rows are scored each; an
-empty table gives an empty result; other columns aren't read.
+Defined results: a null or wordless text has score 0 and isn't toxic; a text of
+any length is scored whole; there are no ties to break, a score at the threshold
+is toxic; labels that are null are ignored, several for one id count as toxic if
+one is; without both labels in the sample every score is 0; repeated rows are
+scored each; an empty table gives an empty result; columns but the id and the
+text aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +38,6 @@ from .textvec import U64, _powers, blocks, hash_word, mix, word_spans
 
 PREFIXES = (4, 5, 6, 7, 8)
 MAX_LABELLED = 20_000
-MAX_FEATURES = 20_000
 THRESHOLD = 0.5
 TIE = 4.0
 #: Groups of terms that may replace one another in a sentence.
@@ -47,7 +51,48 @@ IDENTITIES = (
     ("immigrants", "refugees", "citizens", "foreigners", "natives"),
     ("old", "young", "elderly"),
     ("deaf", "blind", "disabled"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains", "européens"),
+    ("immigrés", "réfugiés", "citoyens", "étrangers"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner", "europäer"),
+    ("einwanderer", "flüchtlinge", "bürger", "ausländer"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos", "europeos"),
+    ("inmigrantes", "refugiados", "ciudadanos", "extranjeros"),
 )
+_WORD = re.compile(r"(?:[a-z0-9]|[^\x00-\x7f])+")
+_SENTENCE = re.compile(r"[.!?\n]+")
+
+
+def swaps(text: str, identities: tuple = IDENTITIES) -> list[tuple[str, str]]:
+    """(sentence, the same with an identity term swapped) for each sentence, term in it and other term of its group."""
+    groups: dict[str, list[tuple[str, ...]]] = {}
+    for group in identities:
+        for term in group:
+            groups.setdefault(term, []).append(group)
+    out = []
+    for sentence in _SENTENCE.split(text.lower()):
+        for term in sorted({w for w in _WORD.findall(sentence) if w in groups}):
+            for other in sorted({o for group in groups[term] for o in group} - {term}):
+                out.append((sentence, _WORD.sub(lambda m: other if m[0] == term else m[0], sentence)))
+    return out
+
+
+def differences(pairs: list[tuple[str, str]], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, place, value): features of each sentence less those of its swapped form, where they differ."""
+    parts = []
+    for side, sign in ((0, 1.0), (1, -1.0)):
+        row, place, tf, words = _table(pa.array([p[side] for p in pairs], pa.string()), keys)
+        parts.append((row, place, sign * _value(tf, words[row])))
+    row, place, value = (np.concatenate(x) for x in zip(*parts))
+    code, at = np.unique(row * len(keys) + place, return_inverse=True)
+    total = np.bincount(at, value, len(code))
+    code, total = code[np.abs(total) > 1e-12], total[np.abs(total) > 1e-12]
+    return np.searchsorted(code, np.arange(len(pairs) + 1) * len(keys)), code % max(len(keys), 1), total
 
 
 def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,7 +156,7 @@ class ToxicityModel:
         return np.where(words > 0, sigmoid(logit), 0.0) if len(self.keys) else np.zeros(len(column))
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES, identities: tuple = IDENTITIES, tie: float = TIE, ridge: float = 0.05, min_docs: int = 3) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_labelled: int = MAX_LABELLED, identities: tuple = IDENTITIES, tie: float = TIE, ridge: float = 0.05, min_docs: int = 3) -> ToxicityModel:
     marks = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
     sample = marks.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     known = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(sample), "id").select("t", "y")
@@ -130,49 +175,46 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         return nothing
     counted = known.mapInArrow(lean(tally), "f bigint, good bigint, bad bigint").groupBy("f").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).where(F.expr(f"good + bad >= {min_docs}"))
     odds = F.abs(F.log((F.col("bad") + 0.5) / (n_bad + 1.0)) - F.log((F.col("good") + 0.5) / (n_good + 1.0))) / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    best = counted.where(odds >= 2.0).orderBy(F.desc(odds), "f").limit(max_features).select("f").toArrow().column(0).to_numpy()
+    best = counted.where(odds >= 2.0).select("f").toArrow().column(0).to_numpy()
     terms = {t: term_features(t).view(np.int64) for group in identities for t in group}
     keys = np.unique(np.concatenate([best, *terms.values()]).astype(np.int64))
     if not len(best):
         return nothing
 
-    hashes = {int(U64(hash_word(t)).view(np.int64)): t for t in terms}
+    spotted = np.unique(np.array([int(U64(hash_word(t)).view(np.int64)) for t in terms], np.int64))
+    pair = lambda a, b: pa.ListArray.from_arrays(pa.array(a, pa.int32()), pa.array(b))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spotted = np.sort(np.array(list(hashes), np.int64))
+        """The rows' features with their label, and rows without one: what changes by each swap."""
         for batch in batches:
             row, place, tf, words = _table(batch.column(0), keys)
-            at = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            value = _value(tf, words[row])
-            who, what, _, _ = _table(batch.column(0), spotted)
-            said = np.searchsorted(who, np.arange(batch.num_rows + 1))
-            pair = lambda a, b: pa.ListArray.from_arrays(pa.array(a, pa.int32()), pa.array(b))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pair(at, place), pair(at, value), pa.array(words), pair(said, spotted[what])], names=["y", "place", "value", "words", "terms"])
-
-    got = known.mapInArrow(lean(describe), "y int, place array<bigint>, value array<double>, words bigint, terms array<bigint>").toArrow()
-    y = got.column("y").to_numpy().astype(float)
-    place = [np.asarray(x, np.int64) for x in got.column("place").to_pylist()]
-    value = [np.asarray(x, float) for x in got.column("value").to_pylist()]
-    rows = _csr(list(zip(place, value)))
-    # counterfactual pairs: features lost with value -v and gained with +v
-    where = {t: np.searchsorted(keys, np.unique(k)) for t, k in terms.items()}
+            yield pa.RecordBatch.from_arrays([batch.column(1), pair(np.searchsorted(row, np.arange(batch.num_rows + 1)), place), pair(np.searchsorted(row, np.arange(batch.num_rows + 1)), _value(tf, words[row]))], names=["y", "place", "value"])
+            said = np.unique(_table(batch.column(0), spotted)[0])
+            found = [p for text in batch.column(0).take(pa.array(said)).to_pylist() for p in swaps(text, identities)]
+            if found:
+                at, place, value = differences(found, keys)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int32()), pair(at, place), pair(at, value)], names=["y", "place", "value"])
+
+    got = known.mapInArrow(lean(describe), "y int, place array<bigint>, value array<double>").toArrow().combine_chunks()
+    labelled = got.column("y").is_valid()
+    sample, swapped = got.filter(labelled), got.filter(pa.compute.invert(labelled))
+    y = sample.column("y").to_numpy().astype(float)
+    # a bare mention: the term's features in a sentence of twenty words
     unit = np.log(2) / np.log1p(20)
-    pairs = [(where[t], np.full(len(where[t]), unit)) for t in where]
-    groups = {t: group for group in identities for t in group}
-    for said, words in zip(got.column("terms").to_pylist(), got.column("words").to_pylist()):
-        size = float(_value(np.array([1.0]), np.array([words]))[0])
-        for h in said:
-            term = hashes[h]
-            for other in groups[term]:
-                if other != term:
-                    pairs.append((np.concatenate([where[term], where[other]]), np.concatenate([np.full(len(where[term]), -size), np.full(len(where[other]), size)])))
-    w, b = fit_sparse(rows, y, len(keys), ridge, _csr(pairs), tie * len(pairs))
+    bare = [np.searchsorted(keys, np.unique(k)) for k in terms.values()]
+    offsets, place, value = _lists(swapped)
+    sizes = np.cumsum([len(x) for x in bare])
+    pairs = np.concatenate([offsets, offsets[-1] + sizes]), np.concatenate([place, *bare]), np.concatenate([value, np.full(sizes[-1], unit)])
+    # the mean over pairs times their number: each pair weighs tie, however many there are
+    w, b = fit_sparse(_lists(sample), y, len(keys), ridge, pairs, tie * (len(pairs[0]) - 1))
     return ToxicityModel(keys, w, b)
 
 
-def _csr(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    offsets = np.append(0, np.cumsum([len(i) for i, _ in rows])).astype(np.int64)
-    return offsets, np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, np.int64), np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
+def _lists(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, place, value) of the list columns of rows."""
+    place, value = (pa.chunked_array(rows.column(c).chunks, rows.column(c).type).combine_chunks() for c in ("place", "value"))
+    lengths = pa.compute.list_value_length(place).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.append(0, np.cumsum(lengths)), place.flatten().to_numpy(zero_copy_only=False).astype(np.int64), value.flatten().to_numpy(zero_copy_only=False).astype(float)
 
 
 def classify(docs: DataFrame, model: ToxicityModel, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
