@@ -32,14 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_KEYS, arrow_type, lean, member, tasks, written
+from .shared import BROADCAST_KEYS, arrow_type, forget, lean, member, tasks, written
 from .textvec import U64, blocks, mix, word_hashes
 
 MU = 1.0
 BLOCK_BYTES = 4 << 20
-#: About what a bucket's requests come to in compressed form; they are some 3.5 times the text.
+#: About what a bucket's requests come to in compressed form; they are some 1.2 times the text.
 BUCKET_BYTES = 16 << 20
-REQUESTS = 3.5
+REQUESTS = 1.2
 START = U64(1)
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
@@ -233,6 +233,8 @@ def score(docs: DataFrame, target: DataFrame, text: str = "text", doc_id: str =
     asked = given.mapInArrow(lean(ask), f"{head}, keys binary, a binary, b binary").withColumn("to", F.expr("if(bucket < 0, block, bucket)"))
     sent = asked.repartition(buckets, "to").drop("to").sortWithinPartitions("bucket", "block")
     replies = written(sent.mapInArrow(lean(lambda batches: _add_up(batches, buckets, names)), f"{head}, a binary, b binary, words bigint, every bigint, wanted bigint"), "uncompressed")
+    del asked, sent
+    forget(docs.sparkSession)  # the requests' shuffle has done its work, and the replies' is still to come
     sums = replies.where("block = -1").agg(F.sum("words"), F.sum("every"), F.sum("wanted")).first()
     words, every, wanted = (int(x or 0) for x in sums)
     ratio = wanted / every if every else 1.0
