@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ def arrow_type(kind: str) -> pa.DataType:
 def forget(spark: SparkSession) -> None:
     """Lets the driver notice now which shuffles nothing refers to any more, so that their files go before more are written."""
     gc.collect()
+    time.sleep(1.5)  # Python's references reach the JVM through a thread that looks for them once a second
     spark.sparkContext._jvm.System.gc()
 
 
