@@ -182,7 +182,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         return nothing
 
     spotted = np.unique(np.array([int(U64(hash_word(t)).view(np.int64)) for t in terms], np.int64))
-    pair = lambda a, b: pa.ListArray.from_arrays(pa.array(a, pa.int32()), pa.array(b))
+    def pair(at: np.ndarray, values: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32() if values.dtype.kind == "i" else pa.float32()))
+
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows' features with their label, and rows without one: what changes by each swap."""
@@ -195,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
                 at, place, value = differences(found, keys)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int32()), pair(at, place), pair(at, value)], names=["y", "place", "value"])
 
-    got = known.mapInArrow(lean(describe), "y int, place array<bigint>, value array<double>").toArrow().combine_chunks()
+    got = known.mapInArrow(lean(describe), "y int, place array<int>, value array<float>").toArrow().combine_chunks()
     labelled = got.column("y").is_valid()
     sample, swapped = got.filter(labelled), got.filter(pa.compute.invert(labelled))
     y = sample.column("y").to_numpy().astype(float)
