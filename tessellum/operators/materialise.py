@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Tables of less than this many bytes in files are spread over all cores: as files they are one task's work.
 SPREAD_BYTES = 64 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders of ``written`` tables that weren't deleted yet.
 _MADE: list[str] = []
 
@@ -40,11 +41,21 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df as a compressed Parquet table in the shared folder: for the larger intermediates."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """df as a compressed Parquet table in the shared folder: for the larger intermediates.
+
+    The shuffles that led to it are deleted with the write, since nothing else can
+    read them, rather than whenever the driver collects its garbage.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     _MADE.append(path)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
