@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
-import time
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +26,6 @@ def arrow_type(kind: str) -> pa.DataType:
     return to_arrow_type(_parse_datatype_string(kind))
 
 
-def forget(spark: SparkSession) -> None:
-    """Lets the driver notice now which shuffles nothing refers to any more, so that their files go before more are written."""
-    gc.collect()
-    time.sleep(1.5)  # Python's references reach the JVM through a thread that looks for them once a second
-    spark.sparkContext._jvm.System.gc()
-
-
 def tasks(df: DataFrame) -> int:
     """Shuffle partitions for repartition(), which AQE doesn't coalesce or size by itself."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
