@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -40,6 +40,24 @@ def term_cosine(left: DataFrame, right: DataFrame) -> DataFrame:
     return dots.join(nx, "a").join(ny, "b").select("a", "b", (F.col("d") / (F.col("nx") * F.col("ny"))).alias("cosine"))
 
 
+def relevant(chunks: DataFrame) -> DataFrame:
+    """chunks (case_id, chunk, text, input, expected) with ``relevant``: alike enough to the input by term frequency, or carrying a statement of the expected answer alone."""
+    told = chunks.withColumns({"_t": T.eval_tokens(F.col("text")), "_i": T.eval_tokens(F.col("input"))})
+    count = lambda tokens, t: F.size(F.filter(tokens, lambda v: v == t)).cast("double")
+    norm = lambda c: F.sqrt(F.aggregate(F.array_distinct(c), F.lit(0.0), lambda a, t: a + count(F.col(c), t) * count(F.col(c), t)))
+    dot = F.aggregate(F.array_intersect("_t", "_i"), F.lit(0.0), lambda a, t: a + count(F.col("_t"), t) * count(F.col("_i"), t))
+    size = norm("_t") * norm("_i")
+    alike = F.when(size > 0, dot / size).otherwise(0.0) >= RELEVANCE
+    carries = F.exists(T.statements(F.col("expected")), lambda s: attributable(T.eval_tokens(s), F.col("_t")))
+    return told.withColumn("relevant", alike | F.coalesce(carries, F.lit(False))).select(*chunks.columns, "relevant")
+
+
+def doc_precision(ranked: DataFrame, expected: DataFrame) -> DataFrame:
+    """(case_id, score): mean precision at the ranks of supporting documents; ranked (case_id, doc, rank), expected (case_id, doc)."""
+    flagged = ranked.join(expected.distinct().withColumn("hit", F.lit(True)), ["case_id", "doc"], "left").withColumn("relevant", F.coalesce("hit", F.lit(False)))
+    return contextual_precision(flagged, ["case_id"])
+
+
 def contextual_recall(cases: DataFrame) -> DataFrame:
     """(case_id, score): share of the expected answer's statements that the contexts carry; cases: case_id, expected, contexts."""
     context = T.eval_tokens(F.array_join("contexts", "\n"))
@@ -183,3 +201,65 @@ def retrieve_fused(atoms: DataFrame, queries: DataFrame, lane: Callable, limit:
     each = parts.select("part").distinct().select(F.col("part").alias("query_id"), F.col("part").alias("query"))
     ranked = top(lane(atoms, each), limit).select(F.col("query_id").alias("part"), "id", "rank").join(parts, "part").select("query_id", F.col("part").alias("lane"), "id", "rank")
     return rrf(ranked, ["query_id"], "id").where(F.col("fused_rank") <= limit)
+
+
+def mulberry32(seed: int) -> Callable[[], float]:
+    """A seeded generator of doubles below 1, the same on every machine."""
+    state = [seed & 0xFFFFFFFF]
+
+    def step() -> float:
+        state[0] = (state[0] + 0x6D2B79F5) & 0xFFFFFFFF
+        t = state[0]
+        t = (t ^ t >> 15) * (t | 1) & 0xFFFFFFFF
+        t ^= (t + ((t ^ t >> 7) * (t | 61) & 0xFFFFFFFF)) & 0xFFFFFFFF
+        return ((t ^ t >> 14) & 0xFFFFFFFF) / 4294967296
+
+    return step
+
+
+TRADES = {"billing": "invoice ledger refund charge", "access": "token session login grant", "search": "index query rank shard", "media": "frame codec stream clip", "fleet": "node deploy rollout probe", "mail": "inbox bounce relay draft"}
+
+
+def synthetic_org(spark: SparkSession, shards: int = 500, docs_per_shard: int = 40, seed: int = 42, questions: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(documents, questions) of a made-up organisation, generated on the executors, a shard from its own seed.
+
+    documents: shard_key, source_key, title, text, domain, needle, needle_query; each
+    has one needle, a name that no other document has, and a lure that is nearly
+    another's.  questions: type, query, expected_shards; 70 % ask for a needle, 20 %
+    for a domain across its shards, 10 % for nothing that is there.
+    """
+    import pandas as pd
+
+    names = sorted(TRADES)
+
+    def needle(shard: int, doc: int) -> str:
+        return f"handler_{shard:05d}_{doc:04d}"
+
+    def make(batches):
+        for ids in batches:
+            rows = []
+            for shard in ids.id.tolist():
+                draw = mulberry32(seed ^ shard * 0x9E3779B1 & 0xFFFFFFFF)
+                own = sorted(names, key=lambda _: draw())[:3]
+                for doc in range(docs_per_shard):
+                    domain = own[int(draw() * 3)]
+                    words = TRADES[domain].split()
+                    body = " ".join(f"The {words[int(draw() * 4)]} of the {words[int(draw() * 4)]} is checked by step {int(draw() * 90) + 10}." for _ in range(4 + int(draw() * 5)))
+                    lure = needle(shard, doc).replace("handler", "handled")
+                    rows.append((f"org:{shard:05d}", f"{domain}/doc{doc}.md", f"{domain} {doc}", f"{body} {needle(shard, doc)} settles the {words[0]}, not {lure}x.", domain, needle(shard, doc), f"what does {needle(shard, doc)} settle?"))
+            yield pd.DataFrame(rows, columns=["shard_key", "source_key", "title", "text", "domain", "needle", "needle_query"])
+
+    docs = spark.range(shards).mapInPandas(make, "shard_key string, source_key string, title string, text string, domain string, needle string, needle_query string")
+    draw = mulberry32(seed ^ 0xBEEF)
+    rows = []
+    for i in range(questions):
+        if i % 10 < 7:
+            shard, doc = int(draw() * shards), int(draw() * docs_per_shard)
+            rows.append(("needle", f"what does {needle(shard, doc)} settle?", [f"org:{shard:05d}"], None))
+        elif i % 10 < 9:
+            rows.append(("cross-shard", f"how is the {TRADES[d := names[int(draw() * len(names))]].split()[0]} checked", None, d))
+        else:
+            rows.append(("no-answer", f"zyx{int(draw() * 1e6)} quux", [], None))
+    asked = spark.createDataFrame(rows, "type string, query string, e array<string>, domain string")
+    homes = docs.groupBy("domain").agg(F.sort_array(F.collect_set("shard_key")).alias("homes"))
+    return docs, asked.join(homes, "domain", "left").select("type", "query", F.coalesce("e", "homes", F.array().cast("array<string>")).alias("expected_shards"))

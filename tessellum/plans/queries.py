@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import graph, routing, search, store
+from ..operators import catalog, graph, routing, search, store
 from ..operators.materialise import cut, spread
 from ..sources import connectors, storage
 from ..streaming import log
@@ -757,3 +757,91 @@ def extractive_answer(spark, d):
     cases = c.where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("case_id"), F.col("text").alias("question"), "conv_id", "turn")
     contexts = c.where("role <> 'user'").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("contexts"))
     return evaluate.extractive_answers(cases.join(contexts, "conv_id").select("case_id", "question", "contexts"), floor=evaluate.REFUSAL)
+
+
+_CLUSTERS_OLD = "(SELECT 'g' || n_regionkey AS graph, lower(n_name) AS name, [n_name] AS keywords FROM nation)"
+_CLUSTERS_NEW = "(SELECT 'g' || (r_regionkey + 1) AS graph, CASE WHEN r_regionkey = 0 THEN 'general' ELSE (SELECT lower(min(n_name)) FROM nation WHERE n_regionkey = r_regionkey + 1) END AS name, [r_name, 'x'] AS keywords FROM region WHERE r_regionkey = 0 OR r_regionkey + 1 IN (SELECT n_regionkey FROM nation))"
+
+
+@query(f"""WITH fresh AS (SELECT * FROM {_CLUSTERS_NEW} WHERE name <> 'general' AND name IS NOT NULL UNION ALL SELECT DISTINCT graph, 'general', []::VARCHAR[] FROM (SELECT graph FROM {_CLUSTERS_OLD} UNION SELECT graph FROM {_CLUSTERS_NEW}))
+SELECT coalesce(f.graph, o.graph) AS graph, coalesce(f.name, o.name) AS name, array_to_string(coalesce(f.keywords, o.keywords), ',') AS keywords FROM {_CLUSTERS_OLD} o FULL JOIN fresh f ON f.graph = o.graph AND f.name = o.name""")
+def ensure_clusters(spark, d):
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    old = nation.select(F.concat(F.lit("g"), F.col("n_regionkey").cast("string")).alias("graph"), F.lower("n_name").alias("name"), F.array("n_name").alias("keywords"))
+    firsts = nation.groupBy((F.col("n_regionkey") - 1).alias("r_regionkey")).agg(F.lower(F.min("n_name")).alias("first"))
+    new = region.join(firsts, "r_regionkey", "left").select(F.concat(F.lit("g"), (F.col("r_regionkey") + 1).cast("string")).alias("graph"), F.when(F.col("r_regionkey") == 0, "general").otherwise(F.col("first")).alias("name"), F.array("r_name", F.lit("x")).alias("keywords"))
+    return catalog.ensure_clusters(old, new.where("name IS NOT NULL")).select("graph", "name", F.array_join("keywords", ",").alias("keywords"))
+
+
+_SHARD_OLD = "(SELECT 'c' || c_custkey AS shard_key, 'repo' AS kind, c_name AS display_name, [c_mktsegment] AS clusters, CASE WHEN c_acctbal < 0 THEN 'EVICTED' ELSE 'ACTIVE' END AS status FROM customer)"
+_SHARD_NEW = "(SELECT 'c' || o_custkey AS shard_key, 'space' AS kind, 'o' || max(o_orderkey) AS display_name, CASE WHEN count(*) > 8 THEN ['big'] ELSE [] END AS clusters FROM orders GROUP BY o_custkey)"
+
+
+@query(f"""SELECT coalesce(n.shard_key, o.shard_key) AS shard_key, coalesce(n.kind, o.kind) AS kind, coalesce(n.display_name, o.display_name) AS display_name, array_to_string(CASE WHEN len(n.clusters) > 0 THEN n.clusters ELSE coalesce(o.clusters, n.clusters) END, ',') AS clusters, coalesce(status, 'ACTIVE') AS status
+FROM {_SHARD_OLD} o FULL JOIN {_SHARD_NEW} n ON o.shard_key = n.shard_key""")
+def ensure_shards(spark, d):
+    key = lambda c: F.concat(F.lit("c"), F.col(c).cast("string")).alias("shard_key")
+    old = table(spark, d, "customer").select(key("c_custkey"), F.lit("repo").alias("kind"), F.col("c_name").alias("display_name"), F.array("c_mktsegment").alias("clusters"), F.when(F.col("c_acctbal") < 0, "EVICTED").otherwise("ACTIVE").alias("status"))
+    new = table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("last"), F.count("*").alias("n")).select(key("o_custkey"), F.lit("space").alias("kind"), F.concat(F.lit("o"), F.col("last").cast("string")).alias("display_name"), F.when(F.col("n") > 8, F.array(F.lit("big"))).otherwise(F.array().cast("array<string>")).alias("clusters"))
+    return catalog.ensure_shards(old, new).withColumn("clusters", F.array_join("clusters", ","))
+
+
+@query("""WITH old AS (SELECT user_id::VARCHAR AS shard_key, event_type AS connector, min(event_id)::VARCHAR AS cursor FROM events GROUP BY ALL),
+new AS (SELECT user_id::VARCHAR AS shard_key, 'sync' AS connector, max_by(event_id, (ts, event_id))::VARCHAR AS cursor FROM events GROUP BY 1)
+SELECT shard_key, connector, coalesce(n.cursor, o.cursor) AS cursor FROM old o FULL JOIN new n USING (shard_key, connector)""")
+def checkpoint_put(spark, d):
+    events = table(spark, d, "events").select(F.col("user_id").cast("string").alias("shard_key"), "event_type", "event_id", "ts")
+    old = events.groupBy("shard_key", F.col("event_type").alias("connector")).agg(F.min("event_id").cast("string").alias("cursor"))
+    new = events.select("shard_key", F.lit("sync").alias("connector"), F.col("event_id").cast("string").alias("cursor"), F.struct("ts", "event_id").alias("seq"))
+    return catalog.put_checkpoints(old, new)
+
+
+@query("SELECT user_id::VARCHAR AS shard_key, event_type AS connector, max(event_id)::VARCHAR AS cursor, 'ACTIVE' AS status FROM events WHERE user_id IN (SELECT c_custkey FROM customer) GROUP BY ALL")
+def checkpoint_shards(spark, d):
+    cursors = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("shard_key"), F.col("event_type").alias("connector")).agg(F.max("event_id").cast("string").alias("cursor"))
+    return catalog.checkpoints_of(cursors, table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("shard_key"), F.lit("ACTIVE").alias("status")))
+
+
+@query(f"SELECT count(*) AS atoms, count(*) AS indexed, 0 AS missing, 0 AS orphans, 0 AS wrong, true AS ok FROM {ATOMS}")
+def index_integrity(spark, d):
+    index = index_of(spark, d)
+    return catalog.index_integrity(index.atoms, index)
+
+
+@query(f"""WITH o AS (SELECT *, 's' || (node % 5) AS shard_key FROM {_OUTBOX}), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shard_key ORDER BY id) AS n FROM o WHERE status <> 'SYNCED' AND event_type <> 'remote.stale' AND shard_key <> 's3') WHERE n <= 100)
+SELECT 's' || (n.node % 5) AS shard_key, n.node, 1 + (b.node IS NOT NULL)::INT AS version, CASE WHEN b.node IS NOT NULL THEN 'SYNCED' ELSE 'DIRTY' END AS status FROM (SELECT DISTINCT user_id AS node FROM events WHERE event_type <> 'purchase') n LEFT JOIN (SELECT DISTINCT node FROM b) b USING (node)""")
+def org_sync(spark, d):
+    shard = F.concat(F.lit("s"), (F.col("node") % 5).cast("string"))
+    wanted = spark.createDataFrame([(f"s{i}",) for i in (0, 1, 2, 4)], "shard_key string")
+    return catalog.org_sync(event_nodes(spark, d).withColumn("shard_key", shard), event_outbox(spark, d).withColumn("shard_key", shard), wanted, 100)[0].select("shard_key", "node", "version", "status")
+
+
+@query(f"""WITH u AS (SELECT o.*, n.node IS NOT NULL AND o.epoch > 1 AS adopted FROM {_OPS} o LEFT JOIN (SELECT DISTINCT node FROM {_OPS} WHERE field <> 'purchase') n USING (node)), l AS (SELECT node, max(epoch) AS epoch FROM u WHERE adopted GROUP BY node)
+SELECT node, field, value, lamport, client, epoch FROM {_OPS} WHERE epoch = 1 AND node NOT IN (SELECT node FROM l) UNION ALL SELECT node, field, value, lamport, client, u.epoch FROM u JOIN l USING (node, epoch) WHERE adopted""")
+def epoch_adopt(spark, d):
+    ops, nodes = event_ops(spark, d), event_nodes(spark, d)
+    return log.adopt(ops.where("epoch = 1"), log.split_remote(ops, nodes))
+
+
+@query("""SELECT node, 1 + coalesce(k, 0) AS version, 'DIRTY' AS status FROM (SELECT DISTINCT user_id AS node FROM events WHERE event_type <> 'purchase') LEFT JOIN (SELECT user_id AS node, count(*) AS k FROM events WHERE event_type = 'purchase' GROUP BY 1) USING (node)""")
+def save_atomic(spark, d):
+    edits = event_outbox(spark, d).join(table(spark, d, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("id")), "id").select("id", "node")
+    return log.save_atomic(event_nodes(spark, d), edits)[0].select("node", "version", "status")
+
+
+@query(f"""WITH b AS (SELECT id, node FROM {_OUTBOX} WHERE status <> 'SYNCED' AND event_type <> 'remote.stale' AND node % 7 <> 0 ORDER BY id LIMIT 1000),
+o AS (SELECT node, field, value, lamport, client FROM {_OPS} WHERE epoch = 0 AND node IN (SELECT node FROM b) UNION ALL SELECT node, field, value, lamport, client FROM {_OPS} WHERE value::BIGINT IN (SELECT id FROM b))
+SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY node, field ORDER BY lamport DESC, client DESC, value DESC) = 1""")
+def sync_payloads(spark, d):
+    ops, outbox = event_ops(spark, d), event_outbox(spark, d)
+    return log.merge_payloads(ops.where("epoch = 0"), ops.withColumn("id", F.col("value").cast("bigint")), outbox, 1000, outbox.where("node % 7 = 0").select("node").distinct())
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, {eval_sql('question')} AS q, {eval_sql('answer')} AS a FROM {_PAIRS}), t AS (SELECT conv_id, turn, w, sum(x) AS nq, sum(y) AS na FROM (SELECT conv_id, turn, unnest(q) AS w, 1 AS x, 0 AS y FROM p UNION ALL SELECT conv_id, turn, unnest(a), 0, 1 FROM p) GROUP BY ALL),
+c AS (SELECT conv_id, turn, sum(nq * na) / nullif(sqrt(sum(nq * nq)::DOUBLE) * sqrt(sum(na * na)::DOUBLE), 0) AS s FROM t GROUP BY ALL),
+st AS (SELECT conv_id, turn, unnest(list_filter(list_transform(string_split_regex(regexp_replace(question, '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+'), lambda x: trim(x)), lambda x: len({eval_sql('x')}) >= 2)) AS sentence, answer FROM {_PAIRS}),
+g AS (SELECT DISTINCT conv_id, turn FROM (SELECT conv_id, turn, {eval_sql('sentence')} AS s, {eval_sql('answer')} AS a FROM st) WHERE len(list_filter(s, lambda w: list_contains(a, w))) / len(s)::DOUBLE >= 0.7)
+SELECT p.conv_id AS case_id, p.turn AS chunk, coalesce(s >= 0.2, false) OR g.conv_id IS NOT NULL AS relevant FROM p LEFT JOIN c USING (conv_id, turn) LEFT JOIN g USING (conv_id, turn)""")
+def relevant_chunks(spark, d):
+    pairs = talk_pairs(spark, d).select(F.col("conv_id").alias("case_id"), F.col("turn").alias("chunk"), F.col("answer").alias("text"), F.col("question").alias("input"), F.col("question").alias("expected"))
+    return evaluate.relevant(pairs).select("case_id", "chunk", "relevant")

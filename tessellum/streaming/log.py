@@ -57,6 +57,31 @@ def apply_remote(nodes: DataFrame, split: DataFrame) -> DataFrame:
     return j.select("node", F.coalesce("adopt", "epoch").alias("epoch"), (F.col("version") + F.when(adopted, 1).otherwise(0)).alias("version"), F.when(adopted, "SYNCED").when(F.col("conflict"), "CONFLICT").otherwise(F.col("status")).alias("status"))
 
 
+def adopt(ops: DataFrame, split: DataFrame) -> DataFrame:
+    """ops after a batch of remote updates, which are operations with ``action``: a node that adopts has the operations of the latest epoch offered, alone."""
+    offered = split.where("action = 'adopted'")
+    latest = offered.groupBy("node").agg(F.max("epoch").alias("epoch"))
+    taken = offered.join(latest, ["node", "epoch"], "left_semi").select(*ops.columns)
+    return ops.join(latest.select("node"), "node", "left_anti").select(*ops.columns).unionByName(taken)
+
+
+def save_atomic(nodes: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, events) after edits (node, id): each raises its node's version, marks it DIRTY and is a ``node.updated`` event."""
+    known = edits.join(nodes.select("node"), "node", "left_semi")
+    times = known.groupBy("node").agg(F.count("*").alias("times"))
+    after = nodes.join(times, "node", "left").withColumns({"version": F.col("version") + F.coalesce("times", F.lit(0)), "status": F.when(F.col("times") > 0, "DIRTY").otherwise(F.col("status"))}).drop("times")
+    return after, known.select("id", "node", F.lit("node.updated").alias("event_type"), F.lit("DIRTY").alias("status"))
+
+
+def merge_payloads(ops: DataFrame, payloads: DataFrame, outbox: DataFrame, limit: int = 1000, in_flight: DataFrame | None = None) -> DataFrame:
+    """Registers of the nodes of one round, after the payloads of its events (id, and an operation) are merged in; nodes in flight wait."""
+    waiting = outbox if in_flight is None else outbox.join(in_flight.select("node"), "node", "left_anti")
+    batch = dirty(waiting, limit)
+    said = payloads.join(batch.select("id"), "id", "left_semi").select("node", "field", "value", "lamport", "client")
+    own = ops.join(batch.select("node").distinct(), "node", "left_semi").select("node", "field", "value", "lamport", "client")
+    return merge(own.unionByName(said))
+
+
 def dirty(outbox: DataFrame, limit: int | None = None) -> DataFrame:
     """Outbox rows that wait for a round: not synced, not stale; oldest first."""
     found = outbox.where("status <> 'SYNCED' AND event_type <> 'remote.stale'")
