@@ -772,6 +772,61 @@ def test_mpeg_crc_and_lame_gap():
     assert (x["encoder_delay"], x["encoder_padding"]) == (576, 1000) and x["duration"] == (x["n_samples"] - 1576) / 44100
 
 
+def slow_frames(raw):
+    """Offsets of the frames of a stream without damage, header by header, from the tables of the standard."""
+    kbit = {("1", 1): "32 64 96 128 160 192 224 256 288 320 352 384 416 448", ("1", 2): "32 48 56 64 80 96 112 128 160 192 224 256 320 384", ("1", 3): "32 40 48 56 64 80 96 112 128 160 192 224 256 320", ("2", 1): "32 48 56 64 80 96 112 128 144 160 176 192 224 256", ("2", 2): "8 16 24 32 40 48 56 64 80 96 112 128 144 160"}
+    kbit["2", 3] = kbit["2", 2]
+    at, out = 0, []
+    while at + 4 <= len(raw):
+        word = int.from_bytes(raw[at : at + 4], "big")
+        if word >> 21 != 0x7FF:
+            at += 1
+            continue
+        version = {3: "1", 2: "2", 0: "2.5"}[word >> 19 & 3]
+        layer = 4 - (word >> 17 & 3)
+        rate = (44100, 48000, 32000)[word >> 10 & 3] // {"1": 1, "2": 2, "2.5": 4}[version]
+        rate_kbit = int(kbit[version[0], layer].split()[(word >> 12 & 15) - 1])
+        pad = word >> 9 & 1
+        if layer == 1:
+            size = (12 * rate_kbit * 1000 // rate + pad) * 4
+        else:
+            size = (144 if layer == 2 or version == "1" else 72) * rate_kbit * 1000 // rate + pad
+        out.append(at)
+        at += size
+    return out
+
+
+def plain_frames(version, layer, index, rate_index, pads, mono=False):
+    """Frames of zeros with the given header."""
+    out = []
+    for pad in pads:
+        head = bytes([255, 0xE0 | version << 3 | (4 - layer) << 1 | 1, index << 4 | rate_index << 2 | pad << 1, 0xC0 if mono else 0])
+        kbit, rate = int(mpeg.BITRATES[version, layer, index]), int(mpeg.RATES[version, rate_index])
+        size = (12 * kbit * 1000 // rate + pad) * 4 if layer == 1 else (144 if layer == 2 or version == 3 else 72) * kbit * 1000 // rate + pad
+        out.append(head + bytes(size - 4))
+    return b"".join(out)
+
+
+@pytest.mark.parametrize("version", [3, 2, 0])
+@pytest.mark.parametrize("layer", [1, 2, 3])
+def test_mpeg_frames_against_a_slow_walk(version, layer):
+    raw = b"".join(plain_frames(version, layer, i, 1, [0, 1, 0]) for i in (1, 5, 9, 14))
+    x = mpeg.parse(raw)
+    assert x["status"] == "ok" and x["layer"] == layer and x["seek_offsets"].tolist() == slow_frames(raw) and x["n_frames"] == 12
+    samples = {1: 384, 2: 1152, 3: 1152 if version == 3 else 576}[layer]
+    assert x["n_samples"] == 12 * samples and x["duration"] == 12 * samples / int(mpeg.RATES[version, 1])
+
+
+def test_mpeg_vbri_table():
+    frames = plain_frames(3, 3, 9, 0, [0] * 20)
+    size = len(frames) // 20
+    table = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, len(frames), 20, 4, 2, 2, 5) + struct.pack(">4H", 1000, 1001, 1002, 1003)
+    first = frames[:36] + table + bytes(size - 36 - len(table))
+    x = mpeg.parse(first + frames)
+    assert x["table_kind"] == "VBRI" and x["table_frames"] == 20 and x["table_bytes"] == len(frames) and x["n_frames"] == 20
+    assert x["toc"] == [2000, 2002, 2004, 2006] and x["seek_offsets"].tolist() == slow_frames(first + frames)[1:]
+
+
 def test_mpeg_awkward(spark):
     raw, _ = mpeg.encode(b"hello" * 200)
     rows = [(1, None, "a"), (2, b"", "b"), (3, b"no audio at all", "c"), (4, bytearray(raw), "d"), (4, bytearray(raw), "d"), (None, b"\xff" * 5000, "e")]
