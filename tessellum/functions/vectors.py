@@ -61,18 +61,18 @@ def embed(df: DataFrame, text: str, dims: int = DIMS, output: str = "embedding")
 QUERY_BYTES, SIMILARITY_BYTES = 128 << 20, 64 << 20
 
 
-def top_similar(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", query_id: str = "query_id") -> DataFrame:
+def top_similar(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", query_id: str = "query_id", batch_queries: int | None = None) -> DataFrame:
     """(query_id, vec_id, similarity, rank): exact cosine top k of every query, ties by id.
 
-    Queries are sent to the vectors in rounds of QUERY_BYTES, so what is broadcast
-    is bounded; each Arrow batch of vectors keeps its own top k per query before
+    Queries are sent to the vectors in rounds of QUERY_BYTES (of about
+    ``batch_queries`` queries if that is fewer), so what is broadcast is bounded; each Arrow batch of vectors keeps its own top k per query before
     the shuffle, computed in slices of SIMILARITY_BYTES.  A null vector is neither
     found nor asked; vectors of another length than the queries' are an error.
     """
     asked = queries.select(F.col(query_id).alias("q"), F.col(embedding).alias("e")).where("e IS NOT NULL AND size(e) > 0")
     n, width = asked.agg(F.count("*"), F.max(F.size("e"))).first()
     kinds = dict(asked.dtypes)["q"], dict(vectors.dtypes)[vec_id]
-    rounds = max(1, -(-n * (width or 0) * 8 // QUERY_BYTES))
+    rounds = max(1, -(-n * (width or 0) * 8 // QUERY_BYTES), -(-n // batch_queries) if batch_queries else 1)
     found = None
     for i in range(rounds):
         part = asked if rounds == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(rounds)) == i)
