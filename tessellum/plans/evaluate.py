@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 
@@ -140,12 +146,81 @@ def sentence_scores(cases: DataFrame) -> DataFrame:
     return every.withColumn("rank", F.row_number().over(order))
 
 
+_JAVA_SPACE = " \t\n\x0b\f\r"
+_SENTENCE_END = re.compile(rf"(?<=[.!?])[{_JAVA_SPACE}]+|\n+")
+_STOPS = frozenset(T.EVAL_STOP)
+
+
+def _tokens(text: str) -> list[str]:
+    """T.eval_tokens of one text."""
+    parts = re.split(r"[^a-z0-9]+", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", text).lower())
+    return [w for w in parts if len(w) > 1 and w not in _STOPS]
+
+
+def _half_up(x: float, places: int = 9) -> Decimal:
+    return Decimal(repr(x)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP)
+
+
+class Sentences:
+    """The sentences of some contexts and where each token is: made once, however many questions follow."""
+
+    def __init__(self, contexts: list[str | None]):
+        self.sentences = [s for c in contexts if c is not None for s in (x.strip(" ") for x in _SENTENCE_END.split(c)) if s]
+        self.at: dict[str, list[tuple[int, int]]] = {}
+        each = [Counter(_tokens(s)) for s in self.sentences]
+        for pos, counts in enumerate(each):
+            for t, n in counts.items():
+                self.at.setdefault(t, []).append((pos, n))
+        self.norms = [math.sqrt(sum((n * self.idf(t)) ** 2 for t, n in counts.items())) for counts in each]
+
+    def idf(self, t: str) -> float:
+        return math.log(1 + len(self.sentences) / (1 + len(self.at.get(t, ()))))
+
+    def similar(self, question: str | None) -> dict[int, float]:
+        """Positive cosines by position."""
+        asked = {t: m * self.idf(t) for t, m in Counter(_tokens(question or "")).items()}
+        dots: dict[int, float] = {}
+        for t, w in asked.items():
+            for pos, n in self.at.get(t, ()):
+                dots[pos] = dots.get(pos, 0.0) + n * self.idf(t) * w
+        size = math.sqrt(sum(w * w for w in asked.values()))
+        return {pos: d / (self.norms[pos] * size) for pos, d in dots.items()}
+
+    def answer(self, question: str | None, most: int, floor: float | None) -> str | None:
+        similar = self.similar(question)
+        best = sorted(similar, key=lambda pos: (-_half_up(similar[pos]), pos))[:most]
+        if floor is not None and max((similar[pos] for pos in best), default=0.0) < floor:
+            return "NO_ANSWER"
+        return " ".join(self.sentences[pos] for pos in sorted(best)) if best or floor is None else None
+
+
 def extractive_answers(cases: DataFrame, most: int = 3, floor: float | None = None) -> DataFrame:
     """(case_id, answer): the best sentences in their order; NO_ANSWER below the floor, if one is given."""
-    best = sentence_scores(cases).where((F.col("rank") <= most) & (F.col("similarity") > 0))
-    joined = best.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("answer"), F.max("similarity").alias("best"))
-    answer = F.coalesce("answer", F.lit("")) if floor is None else F.when(F.coalesce("best", F.lit(0.0)) < floor, "NO_ANSWER").otherwise(F.col("answer"))
-    return cases.select("case_id").join(joined, "case_id", "left").select("case_id", answer.alias("answer"))
+    asked = cases.select(F.array(F.struct("case_id", "question")).alias("asked"), "contexts")
+    return answer_groups(asked, most, floor)
+
+
+def answer_groups(groups: DataFrame, most: int = 3, floor: float | None = None) -> DataFrame:
+    """extractive_answers of (asked, contexts): contexts with all the cases, (case_id, question), that ask them.
+
+    A group is answered in its own row, so its contexts are split once and
+    nothing is shuffled.
+    """
+    case = groups.schema["asked"].dataType.elementType["case_id"]
+    schema = StructType([StructField("case_id", case.dataType, True), StructField("answer", StringType(), True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, answers = [], []
+            for asked, contexts in zip(batch.column("asked"), batch.column("contexts")):
+                known = Sentences(contexts.as_py() or [])
+                for one in asked.as_py():
+                    ids.append(one["case_id"])
+                    answers.append(known.answer(one["question"], most, floor))
+            kind = batch.schema.field("asked").type.value_type.field("case_id").type
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(answers, pa.string())], ["case_id", "answer"])
+
+    return groups.select("asked", "contexts").mapInArrow(run, schema)
 
 
 def correctness(cases: DataFrame) -> DataFrame:
