@@ -153,7 +153,7 @@ class Federation(Collection):
 
     def shards(self) -> DataFrame:
         docs = self.documents()
-        best = routing.top_terms(routing.term_stats(docs))
+        best = routing.best_terms(docs)
         terms = routing.signatures(best, docs.select("shard_key").distinct())
         ordered = terms.groupBy("shard_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("routing_terms"))
         sizes = docs.groupBy("shard_key").agg(F.count("*").alias("doc_count"), F.sum(F.length("text")).alias("bytes"))

@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import counting
 from .materialise import cut
-from .search import B, K1, RRF_K, Index, _maybe_broadcast, hybrid, rrf
+from .search import B, BROADCAST_RUNS, K1, RRF_K, Index, _maybe_broadcast, hybrid, rrf
 
 MIN_DENSITY = 1.0
 #: Keywords of clusters up to this many are part of the expression that routes an atom.
 INLINE = 256
+#: A term of a shard's statistics.
+STATS_TERM = "[a-z][a-z0-9_$]{2,31}"
+#: So many times the terms that are asked for are sent by each part of a table.
+SENT = 4
 
 
 def keyword_density(body, keyword):
@@ -52,7 +57,7 @@ def route_atoms(atoms: DataFrame, clusters: DataFrame, min_density: float = MIN_
 
 def term_stats(docs: DataFrame, shard: str = "shard_key", text: str = "text") -> DataFrame:
     """(shard_key, term, tf) of ingest terms: identifiers of 3 to 32 characters, no stop words."""
-    found = docs.select(F.col(shard).alias("shard_key"), F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z][a-z0-9_$]{2,31}"), F.lit(0))).alias("term"))
+    found = docs.select(F.col(shard).alias("shard_key"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(STATS_TERM), F.lit(0))).alias("term"))
     return found.where(~F.col("term").isin(T.STATS_STOP)).groupBy("shard_key", "term").agg(F.count("*").alias("tf"))
 
 
@@ -61,6 +66,41 @@ def top_terms(stats: DataFrame, most: int = 500) -> DataFrame:
     return stats.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def best_terms(docs: DataFrame, most: int = 500, shard: str = "shard_key", text: str = "text") -> DataFrame:
+    """top_terms(term_stats(docs)) without a row for each term of each shard.
+
+    Each part of the table sends its most frequent terms and a bound of the others.
+    A shard's terms that may be among its best by what was sent are then counted
+    in a second pass.  Where an unsent term may be among them, as with few or flat
+    counts, all terms of that shard are counted.
+    """
+    sent = cut(counting.frequent_terms(docs, STATS_TERM, T.STATS_STOP, SENT * most, shard, text).groupBy("shard_key", "term").agg(F.sum("n").alias("tf")))
+    some = sent.where("term IS NOT NULL")
+    bounds = {r["shard_key"]: r["tf"] for r in sent.where("term IS NULL").collect()}
+    if not bounds:
+        return cut(top_terms(some, most))
+    least = {r["shard_key"]: r["tf"] for r in top_terms(some, most).where(F.col("rank") == most).select("shard_key", "tf").collect()}
+    open_ = [key for key, bound in bounds.items() if bound >= least.get(key, 0)]
+    # without a bound what was sent is a shard's whole count
+    limits = docs.sparkSession.createDataFrame([(key, least.get(key, 0) - bound) for key, bound in bounds.items() if key not in set(open_)], sent.select("shard_key", F.col("tf").alias("limit")).schema)
+    known = some.join(F.broadcast(limits), some["shard_key"].eqNullSafe(limits["shard_key"])).where(F.col("tf") >= F.col("limit")).select(some["shard_key"], "term")
+    wanted: dict[object, set] = {}
+    if known.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS:
+        for row in known.collect():
+            wanted.setdefault(row["shard_key"], set()).add(row["term"])
+    else:
+        open_ = list(bounds)
+    keys = docs.sparkSession.createDataFrame([(key,) for key in bounds], limits.select(F.col("shard_key").alias("_key")).schema)
+    every = some.join(F.broadcast(keys), some["shard_key"].eqNullSafe(keys["_key"]), "left_anti")
+    if wanted:
+        every = every.unionByName(counting.count_known(docs, STATS_TERM, {key: frozenset(terms) for key, terms in wanted.items()}, shard, text).groupBy("shard_key", "term").agg(F.sum("n").alias("tf")))
+    if open_:
+        unsettled = docs.sparkSession.createDataFrame([(key,) for key in open_], keys.schema)
+        rest = docs.select(F.col(shard).alias("shard_key"), F.col(text).alias("text"))
+        every = every.unionByName(term_stats(rest.join(F.broadcast(unsettled), rest["shard_key"].eqNullSafe(unsettled["_key"]), "left_semi")))
+    return cut(top_terms(every, most))
+
+
 def term_df(best: DataFrame) -> DataFrame:
     """In how many shards' top terms each term is."""
     return best.groupBy("term").agg(F.count_distinct("shard_key").alias("df"))
